@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinweave.llm.bpe import round_trip_digests
 from kinweave.llm.ngram_jaccard import ngram_jaccard_join
+from kinweave.llm.packing import best_fit_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,24 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """Path of the public byte-level BPE file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard}
+    found = [op1_ngram_jaccard, op8_bpe_round_trip, op10_best_fit_packing]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
