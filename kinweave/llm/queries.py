@@ -11,6 +11,7 @@ from kinweave.llm.bpe import round_trip_digests
 from kinweave.llm.ngram_jaccard import ngram_jaccard_join
 from kinweave.llm.packing import best_fit_packing
 from kinweave.llm.substring_dedup import substring_dedup
+from kinweave.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -42,7 +49,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op8_bpe_round_trip, op9_substring_dedup, op10_best_fit_packing]
+    found = [op1_ngram_jaccard, op3_toxicity, op8_bpe_round_trip, op9_substring_dedup, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
