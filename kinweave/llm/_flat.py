@@ -7,10 +7,12 @@ the bytes, so two executors always agree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -154,3 +156,9 @@ def rolling(h: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(mix(h + np.uint64(seed)) * up[: len(h)], out=sums[1:])
     return mix((sums[k:] - sums[:n]) * down[:n])
+
+
+def carried(docs: DataFrame, columns: Sequence[str]) -> Column:
+    """The columns that only pass through an operator, as the struct `rest`, whose
+    fields have names of their own, so that no name can clash."""
+    return F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(columns)), F.lit(0).alias("none")).alias("rest")

@@ -188,7 +188,7 @@ def intersections(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         yield i, row
 
 
-def _verify(threshold: float):
+def verify_blocks(threshold: float):
     """One pair of blocks: how many rows each class links with, and a spanning
     forest of the links found."""
 
@@ -265,7 +265,7 @@ def ngram_jaccard_join(
     spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cls", "component", "copies", "block", "grams", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")
     )
-    found = written(spread.groupBy("component", "p", "q").applyInPandas(_verify(threshold), "a binary, b binary, links long"), "links")
+    found = written(spread.groupBy("component", "p", "q").applyInPandas(verify_blocks(threshold), "a binary, b binary, links long"), "links")
 
     linked = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     joined = connected_components(found.filter("b is not null").select("a", "b"))

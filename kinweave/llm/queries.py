@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.bpe import round_trip_digests
+from kinweave.llm.line_dedup import line_dedup
 from kinweave.llm.ngram_jaccard import ngram_jaccard_join
 from kinweave.llm.packing import best_fit_packing
 from kinweave.llm.substring_dedup import substring_dedup
@@ -35,6 +36,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -49,7 +55,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op3_toxicity, op8_bpe_round_trip, op9_substring_dedup, op10_best_fit_packing]
+    found = [op1_ngram_jaccard, op3_toxicity, op5_line_dedup, op8_bpe_round_trip, op9_substring_dedup, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 

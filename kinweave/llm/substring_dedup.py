@@ -22,15 +22,17 @@ Words are maximal runs of bytes other than blank and tab to carriage return.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinweave.llm import _flat
+from kinweave.llm._flat import carried
 from kinweave.operators.components import connected_components
 from kinweave.plans.storage import written
 
@@ -136,7 +138,7 @@ def _read_sources(span: int):
     return run
 
 
-def _remove(span: int):
+def _remove(span: int, layout: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, spans = batch.column(1).fill_null(""), batch.column(2)
@@ -154,8 +156,10 @@ def _remove(span: int):
                     keep = np.cumsum(edge)[:-1] == 0
                     words = list(compress(words, keep.tolist()))
                     n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
+                kept.append(text.as_py() if layout and not n_removed[-1] else b" ".join(words).decode())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), batch.column(3)], names=["id", "n_words", "n_removed", "kept_text", "rest"]
+            )
 
     return run
 
@@ -202,20 +206,24 @@ def repeated_spans(keyed: DataFrame, span: int = 35, k: int = 8) -> DataFrame:
     return spans.select("row", "start", "n").unionByName(single)
 
 
-def substring_dedup(docs: DataFrame, span: int = 35, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, span: int = 35, k: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), layout: bool = False
+) -> DataFrame:
     """Removes each word that lies in a window of `span` words whose sequence
     also starts elsewhere, in another text or in the same one.
 
     Returns one row per input row: id, n_words, n_removed, kept_text (the words
-    kept, joined by one blank). Windows are judged on the input. Null and empty
+    kept, joined by one blank; with `layout`, texts that lose none as they are) and
+    the columns named in `carry`. Windows are judged on the input. Null and empty
     texts have no words; texts of fewer than `span` words lose none. Equal rows
     are rows of their own, and so repeat each other. An empty table gives no
     rows. Other columns are ignored.
     """
     if not 0 < k < span:
         raise ValueError("k must lie between 1 and span - 1")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), carried(docs, carry))
     keyed = base.withColumn("row", F.xxhash64("id", "text"))
     spans = repeated_spans(keyed, span, k).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    cut = keyed.join(spans, "row", "left").select("id", "text", "spans").mapInArrow(_remove(span), "id long, n_words long, n_removed long, kept_text string")
-    return cut.withColumnRenamed("id", id_col)
+    kind = StructType().add("id", "long").add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add(base.schema["rest"])
+    cut = keyed.join(spans, "row", "left").select("id", "text", "spans", "rest").mapInArrow(_remove(span, layout), kind)
+    return cut.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", *(F.col("rest").getField(f"c{i}").alias(c) for i, c in enumerate(carry)))
