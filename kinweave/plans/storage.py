@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -28,6 +29,13 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     return Written(df, what).df
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the cluster delete shuffle files of plans that nothing refers to any
+    more; Spark does so only when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Written:
     """A written table that can be dropped when its successor stands."""
 
@@ -35,6 +43,7 @@ class Written:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{what}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        release(self.spark)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
