@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 from kinweave.llm import _flat
 from kinweave.llm._flat import carried
 from kinweave.operators.components import connected_components
-from kinweave.plans.storage import written
+from kinweave.plans.storage import Written, written
 
 _SEPARATORS = _flat.separators("space")
 
@@ -170,14 +170,16 @@ def repeated_spans(keyed: DataFrame, span: int = 35, k: int = 8) -> DataFrame:
     texts = keyed.select("row", "text")
     kmers = texts.mapInArrow(_blocks(span, k, True), "kmer long").groupBy("kmer").count().filter("count > 1").select("kmer")
     blocks = texts.mapInArrow(_blocks(span, k, False), "kmer long, hi long, lo long, row long, start int, n int")
-    held = written(blocks.join(kmers, "kmer"), "blocks")
+    blocks_held = Written(blocks.join(kmers, "kmer"), "blocks")
+    held = blocks_held.df
 
     classes = held.groupBy("hi", "lo", "kmer", "n").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("at"))
     mixed = classes.groupBy("kmer").agg(F.count("*").alias("classes"), F.min("copies").alias("least")).filter("classes > 1 and least = 1").select("kmer")
     opened = classes.join(mixed, "kmer").select(F.lit(0).alias("kind"), "hi", "lo", "copies", "at.row", "at.start", "n")
 
     whole = classes.filter("copies > 1").select("hi", "lo", "copies")
-    repeated = written(held.join(whole, ["hi", "lo"]).select("hi", "lo", "copies", "row", "start", "n").distinct(), "repeated")
+    repeated_held = Written(held.join(whole, ["hi", "lo"]).select("hi", "lo", "copies", "row", "start", "n").distinct(), "repeated")
+    repeated = repeated_held.df
     name = F.concat(F.hex("hi"), F.hex("lo"))
     ends = repeated.select(name.alias("a"), F.col("copies").alias("a_copies"), "row", (F.col("start") + F.col("n")).alias("start"))
     follow = ends.join(repeated.select(name.alias("b"), F.col("copies").alias("b_copies"), "row", "start"), ["row", "start"])
@@ -196,6 +198,8 @@ def repeated_spans(keyed: DataFrame, span: int = 35, k: int = 8) -> DataFrame:
     asked = opened.unionByName(spans.select(F.lit(1).alias("kind"), "hi", "lo", "copies", "row", "start", "n"))
     lists = asked.groupBy("row").agg(F.collect_list(F.struct("kind", "hi", "lo", "copies", "start", "n")).alias("asked"))
     read = written(texts.join(lists, "row").select("text", "row", "asked").mapInArrow(_read_sources(span), _READ), "sources")
+    for table in (blocks_held, repeated_held):
+        table.drop()
 
     differ = read.filter("kind = 1").groupBy("hi", "lo", "n").agg(F.min(F.struct("w1", "w2")).alias("x"), F.max(F.struct("w1", "w2")).alias("y")).filter("x != y")
     if not differ.isEmpty():
