@@ -180,7 +180,7 @@ def repeated_spans(keyed: DataFrame, span: int = 35, k: int = 8) -> DataFrame:
     whole = classes.filter("copies > 1").select("hi", "lo", "copies")
     repeated_held = Written(held.join(whole, ["hi", "lo"]).select("hi", "lo", "copies", "row", "start", "n").distinct(), "repeated")
     repeated = repeated_held.df
-    name = F.concat(F.hex("hi"), F.hex("lo"))
+    name = F.col("hi")  # a path's label only: the words were compared by both hashes
     ends = repeated.select(name.alias("a"), F.col("copies").alias("a_copies"), "row", (F.col("start") + F.col("n")).alias("start"))
     follow = ends.join(repeated.select(name.alias("b"), F.col("copies").alias("b_copies"), "row", "start"), ["row", "start"])
     links = follow.groupBy("a", "b", "a_copies", "b_copies").count().filter("count = a_copies and count = b_copies and a != b")
