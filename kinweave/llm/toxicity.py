@@ -41,13 +41,15 @@ _FLOOR = 2.0
 _EMPTY = -2.0
 #: A text is judged by so many of its tokens: one chance likeness is no insult.
 TOP = 3
+#: Texts held as units of their own during training, to bound memory.
+TRAIN_TEXTS = 64
 #: Smoothing of triple counts, against chance triples of small samples.
 PRIOR = 3.0
 
 
 def _symbols() -> np.ndarray:
     """Symbol of each code point; 0: neither letter nor digit."""
-    table = np.zeros(0x110000, np.uint32)
+    table = np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
         if not 0xD800 <= c < 0xE000 and chr(c).isalnum():
             table[c] = c if c in _OWN else _REST[c % len(_REST)]
@@ -88,16 +90,16 @@ class Units:
         heads = heads[~joins]
         sizes = np.diff(np.append(heads, len(symbol)))
         # an anchor, symbol 0, before each token
-        self.symbol = np.insert(symbol, heads, 0).astype(np.int64)
-        self.text = np.insert(text, heads, text[heads])
+        self.symbol = np.insert(symbol, heads, 0).astype(np.int32)
+        self.text = np.insert(text, heads, text[heads]).astype(np.int32)
         self.heads = heads + np.arange(len(heads))
-        self.last = np.repeat(self.heads + sizes, sizes + 1)
+        self.last = np.repeat(self.heads + sizes, sizes + 1).astype(np.int32)
 
     def triples(self) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         """(valid, code, weight) for each pair of hops, by starting place."""
         n = len(self.symbol)
-        padded = np.concatenate([self.symbol, np.zeros(REACH, np.int64)])
-        left = self.last - np.arange(n)
+        padded = np.concatenate([self.symbol, np.zeros(REACH, np.int32)])
+        left = self.last - np.arange(n, dtype=np.int32)
         for (a, b), w in zip(_HOPS, _WEIGHTS):
             yield left >= a + b, (padded[:n] << 2 * _BITS) | (padded[a : a + n] << _BITS) | padded[a + b : a + b + n], w
 
@@ -199,41 +201,48 @@ def train(texts: list[str], labels: list[int], landmarks: int = 256, rounds: int
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(own) and y[rest].min() < y[rest].max():
             machine = ToxicityModel(_weights([texts[i] for i in rest], y[rest], landmarks, rounds, per_text, seed), np.zeros(TOP), 0.0)
-            m[own] = np.concatenate([machine.margins([texts[j] for j in own[i : i + 500]]) for i in range(0, len(own), 500)])
+            m[own] = np.concatenate([machine.margins([texts[j] for j in own[i : i + TRAIN_TEXTS]]) for i in range(0, len(own), TRAIN_TEXTS)])
     return ToxicityModel(_weights(texts, y, landmarks, rounds, per_text, seed), *_calibrate(m, y, prevalence if prevalence is not None else float(y.mean())))
 
 
 def _weights(texts: list[str], y: np.ndarray, landmarks: int, rounds: int, per_text: int, seed: int) -> np.ndarray:
     """Triple weights of the machine that is linear in the Nystroem features."""
     size = 1 << (3 * _BITS)
-    units = Units(texts)
+    parts = [(i, Units(texts[i : i + TRAIN_TEXTS])) for i in range(0, len(texts), TRAIN_TEXTS)]
+    parts = [(i, u) for i, u in parts if len(u.symbol)]
     # to begin with, smoothed log odds of a triple in the texts of either class
-    seen = np.zeros((2, size))
-    told = y[units.text]
-    for valid, code, _ in units.triples():
-        for value in (0, 1):
-            seen[value] += np.bincount(code[valid & (told == value)], minlength=size)
+    seen = np.zeros((2, size), np.float32)
+    for i, units in parts:
+        told = y[i + units.text]
+        for valid, code, _ in units.triples():
+            for value in (0, 1):
+                codes, counts = np.unique(code[valid & (told == value)], return_counts=True)
+                seen[value, codes] += counts
     total = seen.sum(axis=1)
-    share = total / total.sum()
+    share = np.maximum(total, 1) / max(float(total.sum()), 1.0)
     weights = np.maximum(np.log((seen[1] + PRIOR * share[1]) / share[1]) - np.log((seen[0] + PRIOR * share[0]) / share[0]), 0)
+    del seen
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
-        margin = units.margins(weights)
-        unit, text = units.best(margin)
-        order = np.lexsort((-margin[unit], text))
-        unit, text = unit[order], text[order]
-        heads = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        found = []
+        for p, (i, units) in enumerate(parts):
+            margin = units.margins(weights)
+            at, own = units.best(margin)
+            found.append((np.full(len(at), p), at, own + i, margin[at]))
+        part, unit, text, margin = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 4
+        order = np.lexsort((-margin, text))
+        part, unit, text, margin = part[order], unit[order], text[order], margin[order]
+        heads = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, int)
         sizes = np.diff(np.append(heads, len(text)))
         place = np.arange(len(text)) - np.repeat(heads, sizes)
-        lead = np.repeat(margin[unit[heads]], sizes)
-        leading = (place < per_text) & (margin[unit] >= 0.5 * lead)
-        positive = unit[leading & (y[text] == 1)]
-        hard = unit[(place < per_text // 3) & (y[text] == 0)]
-        plain = unit[y[text] == 0]
+        leading = (place < per_text) & (margin >= 0.5 * np.repeat(margin[heads], sizes))
+        positive = np.flatnonzero(leading & (y[text] == 1))
+        hard = np.flatnonzero((place < per_text // 3) & (y[text] == 0))
+        plain = np.flatnonzero(y[text] == 0)
         negative = np.unique(np.concatenate([hard, rng.choice(plain, min(len(plain), len(hard) // 2 + 100), replace=False)]))
         if not len(positive) or not len(negative):
             break
-        rows = [units.features(int(u)) for u in np.concatenate([positive, negative])]
+        rows = [parts[part[i]][1].features(int(unit[i])) for i in np.concatenate([positive, negative])]
         # landmarks: the most frequent units of either class
         marks = []
         for part in (rows[: len(positive)], rows[len(positive) :]):
@@ -255,11 +264,11 @@ def _weights(texts: list[str], y: np.ndarray, landmarks: int, rounds: int, per_t
         value, vector = np.linalg.eigh((basis @ basis.T).astype(float))
         good = value > 1e-6 * value.max()
         root = vector[:, good] / np.sqrt(value[good])  # K^(-1/2) up to a rotation
-        x = np.concatenate([dense(rows[i : i + 2000]) @ basis.T @ root for i in range(0, len(rows), 2000)])
+        x = np.concatenate([dense(rows[i : i + 500]) @ basis.T @ root for i in range(0, len(rows), 500)])
         sign = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         cost = np.where(sign > 0, 0.5 / len(positive), 0.5 / len(negative))
         machine = _svm(np.hstack([x, np.ones((len(x), 1))]), sign, cost)
-        weights = np.zeros(size)
+        weights = np.zeros(size, np.float32)
         weights[list(column)] = basis.T @ (root @ machine[:-1])
     return weights.astype(np.float32)
 
@@ -284,7 +293,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 800, max_chars: int = 30_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learns from at most `per_class` labelled texts of each class, of at most
     max_chars characters each: those of the lowest hashes of their ids. Held-out
     rows, null ids, null texts and labels other than 0 and 1 are not learned from."""
