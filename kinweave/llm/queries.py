@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.bpe import round_trip_digests
+from kinweave.llm.cws import edited_fingerprints
 from kinweave.llm.line_dedup import line_dedup
 from kinweave.llm.ngram_jaccard import ngram_jaccard_join
 from kinweave.llm.packing import best_fit_packing
 from kinweave.llm.substring_dedup import substring_dedup
 from kinweave.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from kinweave.llm.vector_range import vector_range_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_vector_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_range_join(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
@@ -41,6 +47,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -55,7 +65,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op3_toxicity, op5_line_dedup, op8_bpe_round_trip, op9_substring_dedup, op10_best_fit_packing]
+    found = [op1_ngram_jaccard, op2_vector_range, op3_toxicity, op5_line_dedup, op7_cws_fingerprints, op8_bpe_round_trip, op9_substring_dedup, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
