@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.bpe import round_trip_digests
 from kinweave.llm.cws import edited_fingerprints
+from kinweave.llm.license_scan import license_scan
 from kinweave.llm.line_dedup import line_dedup
 from kinweave.llm.ngram_jaccard import ngram_jaccard_join
 from kinweave.llm.packing import best_fit_packing
 from kinweave.llm.substring_dedup import substring_dedup
+from kinweave.llm.token_counts import token_counts
 from kinweave.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from kinweave.llm.vector_range import vector_range_join
 
@@ -42,11 +44,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +77,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op2_vector_range, op3_toxicity, op5_line_dedup, op7_cws_fingerprints, op8_bpe_round_trip, op9_substring_dedup, op10_best_fit_packing]
+    found = [op1_ngram_jaccard, op2_vector_range, op3_toxicity, op4_token_counts, op5_line_dedup, op6_license_scan, op7_cws_fingerprints, op8_bpe_round_trip, op9_substring_dedup, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
