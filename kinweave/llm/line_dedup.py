@@ -26,7 +26,7 @@ from kinweave.llm import _flat
 from kinweave.llm._flat import carried
 from kinweave.llm.ngram_jaccard import BLOCK_GRAMS, BLOCK_ROWS, MinHash, choose_bands, verify_blocks
 from kinweave.operators.components import connected_components
-from kinweave.plans.storage import written
+from kinweave.plans.storage import Written, written
 
 _EDGES = " \t\r\f\v"
 
@@ -143,15 +143,20 @@ def line_dedup(docs: DataFrame, k: int = 8, threshold: float = 0.8, recall: floa
     bands, rows = choose_bands(threshold, recall, max_hashes)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), carried(docs, carry))
     keyed = base.withColumn("row", F.xxhash64("id", "text"))
-    lines = written(keyed.select("id", "row", "text").mapInArrow(_signatures(k, bands, rows), "id long, row long, place int, hi long, lo long, size long, bands array<long>"), "lines")
-
-    banded = lines.select("lo", F.posexplode("bands").alias("band", "hash")).select("lo", F.xxhash64("band", "hash").alias("bucket"))
-    stars = written(banded.groupBy("bucket").agg(F.min("lo").alias("b"), F.max("lo").alias("x")).filter("b != x").drop("x"), "stars")
-    links = banded.join(stars, "bucket").filter("lo != b").select(F.col("lo").alias("a"), "b").distinct()
-    candidates = connected_components(links)
-
-    classes = written(lines.groupBy("hi", "lo").agg(F.min(F.struct("id", "row", "place")).alias("at"), F.count("*").alias("copies"), F.first("size").alias("size")), "classes")
-    members = classes.join(candidates.withColumnRenamed("node", "lo"), "lo")
+    signed = Written(keyed.select("id", "row", "text").mapInArrow(_signatures(k, bands, rows), "id long, row long, place int, hi long, lo long, size long, bands array<long>"), "signatures")
+    places = Written(signed.df.drop("bands"), "lines")
+    lines = places.df
+
+    banded = signed.df.select("lo", F.posexplode("bands").alias("band", "hash")).select("lo", F.xxhash64("band", "hash").alias("bucket"))
+    stars = Written(banded.groupBy("bucket").agg(F.min("lo").alias("b"), F.max("lo").alias("x")).filter("b != x").drop("x"), "stars")
+    links = banded.join(stars.df, "bucket").filter("lo != b").select(F.col("lo").alias("a"), "b").distinct()
+    candidates = Written(connected_components(links), "candidates")
+    for table in (signed, stars):
+        table.drop()
+
+    held = Written(lines.groupBy("hi", "lo").agg(F.min(F.struct("id", "row", "place")).alias("at"), F.count("*").alias("copies"), F.first("size").alias("size")), "classes")
+    classes = held.df
+    members = classes.join(candidates.df.withColumnRenamed("node", "lo"), "lo")
     groups = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     placed = members.join(groups.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("hi", "lo"), F.col("blocks")).cast("int"))
@@ -166,9 +171,11 @@ def line_dedup(docs: DataFrame, k: int = 8, threshold: float = 0.8, recall: floa
     named = classes.withColumn("node", _key(F.col("hi"), F.col("lo"))).join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
     firsts = named.groupBy("root").agg(F.min("at").alias("first"), F.sum("copies").alias("all")).filter("all > 1")
     twice = named.join(firsts, "root").select("hi", "lo", "first")
-    drops = (
+    drops = Written(
         lines.select("id", "row", "place", "hi", "lo").join(twice, ["hi", "lo"])
-        .filter(~F.struct("id", "row", "place").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("place").alias("drops"))
+        .filter(~F.struct("id", "row", "place").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("place").alias("drops")), "drops"
     )
-    cut = keyed.join(drops, "row", "left").select("id", "text", "drops", "rest").mapInArrow(_cut, StructType().add("id", "long").add("n_lines", "long").add("n_removed", "long").add("kept_text", "string").add(base.schema["rest"]))
+    for table in (places, held, candidates):
+        table.drop()
+    cut = keyed.join(drops.df, "row", "left").select("id", "text", "drops", "rest").mapInArrow(_cut, StructType().add("id", "long").add("n_lines", "long").add("n_removed", "long").add("kept_text", "string").add(base.schema["rest"]))
     return cut.select(F.col("id").alias(id_col), "n_lines", "n_removed", "kept_text", *(F.col("rest").getField(f"c{i}").alias(c) for i, c in enumerate(carry)))

@@ -227,7 +227,7 @@ def substring_dedup(
         raise ValueError("k must lie between 1 and span - 1")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), carried(docs, carry))
     keyed = base.withColumn("row", F.xxhash64("id", "text"))
-    spans = repeated_spans(keyed, span, k).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = written(repeated_spans(keyed, span, k).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "cuts")
     kind = StructType().add("id", "long").add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add(base.schema["rest"])
     cut = keyed.join(spans, "row", "left").select("id", "text", "spans", "rest").mapInArrow(_remove(span, layout), kind)
     return cut.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", *(F.col("rest").getField(f"c{i}").alias(c) for i, c in enumerate(carry)))
