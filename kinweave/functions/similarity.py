@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def jaro(a: str, b: str) -> float:
@@ -40,13 +41,13 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1, most: int = 4) -> float:
     return j + n * weight * (1 - j)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_column(a: pd.Series, b: pd.Series) -> pd.Series:
     """For columns of distinct pairs; nulls give null."""
     return pd.Series([None if x is None or y is None else jaro(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler_column(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 

@@ -12,6 +12,7 @@ from kinweave.functions.similarity import jaccard, jaro_column, jaro_winkler_col
 from kinweave.operators.blocking import STRATEGIES, block, block_union
 from kinweave.operators.survivorship import lineage_violations, survive
 from kinweave.plans import evaluate, matching, overrides
+from kinweave.plans.storage import written
 from kinweave.sources.roster import roster
 
 PRIORITY = ["purchase", "signup", "click"]
@@ -30,14 +31,16 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.normalized(roster(spark, sf_dir))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rows(spark, sf_dir)
-    return matching.compared(block_union(r), r)
+def vectors(r: DataFrame) -> DataFrame:
+    return written(matching.compared(block_union(r), r), "vectors")
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    return matching.scored(v, matching.fit_weights(v))
+def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(scored pairs, normalised rows): both are read several times, so they are
+    written tables."""
+    r = written(rows(spark, sf_dir), "rows")
+    v = vectors(r)
+    return written(matching.scored(v, matching.fit_weights(v)), "scores"), r
 
 
 @query
@@ -74,7 +77,7 @@ def true_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _block(name: str) -> Query:
-    return lambda spark, sf_dir: block(rows(spark, sf_dir), STRATEGIES[name])
+    return lambda spark, sf_dir: block(written(rows(spark, sf_dir), "rows"), STRATEGIES[name])
 
 
 for _short, _name in (("npi", "npi_exact"), ("zip4", "zip_surname4"), ("sdx_state", "soundex_state"), ("phone", "phone_exact")):
@@ -83,13 +86,13 @@ for _short, _name in (("npi", "npi_exact"), ("zip4", "zip_surname4"), ("sdx_stat
 
 @query
 def block_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block_union(rows(spark, sf_dir))
+    return block_union(written(rows(spark, sf_dir), "rows"))
 
 
 @query
 def block_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completeness, reduction and precision per strategy, counted in one pass each."""
-    r = rows(spark, sf_dir)
+    r = written(rows(spark, sf_dir), "rows")
     entity = r.select("source_system", "source_row_id", "entity_id")
     found = {**{n: block(r, k) for n, k in STRATEGIES.items()}, "union": block_union(r)}
     a, b = (entity.select(F.col("source_system").alias(f"{s}_sys"), F.col("source_row_id").alias(f"{s}_id"), F.col("entity_id").alias(f"{s}_entity")) for s in "ab")
@@ -147,52 +150,52 @@ def sim_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def compare_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("a_sys", "a_id", "b_sys", "b_id", *matching.FIELDS)
+    return vectors(written(rows(spark, sf_dir), "rows")).select("a_sys", "a_id", "b_sys", "b_id", *matching.FIELDS)
 
 
 @query
 def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).groupBy(*matching.FIELDS).agg(F.count("*").alias("pairs"), F.count_if("is_match").alias("matches"))
+    return vectors(written(rows(spark, sf_dir), "rows")).groupBy(*matching.FIELDS).agg(F.count("*").alias("pairs"), F.count_if("is_match").alias("matches"))
 
 
 @query
 def fs_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.fit_weights(vectors(spark, sf_dir))
+    return matching.fit_weights(vectors(written(rows(spark, sf_dir), "rows")))
 
 
 @query
 def fs_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(spark, sf_dir).select("a_sys", "a_id", "b_sys", "b_id", "score", "is_match")
+    return scored(spark, sf_dir)[0].select("a_sys", "a_id", "b_sys", "b_id", "score", "is_match")
 
 
 @query
 def sweep_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.sweep(scores(spark, sf_dir), rows(spark, sf_dir))
+    return evaluate.sweep(*scored(spark, sf_dir))
 
 
 @query
 def cost_optima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.cost_optima(evaluate.sweep(scores(spark, sf_dir), rows(spark, sf_dir)))
+    return evaluate.cost_optima(evaluate.sweep(*scored(spark, sf_dir)))
 
 
 @query
 def review_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.review_band(scores(spark, sf_dir), rows(spark, sf_dir))
+    return evaluate.review_band(*scored(spark, sf_dir))
 
 
 @query
 def cc_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overrides.clusters(scores(spark, sf_dir), rows(spark, sf_dir), 2).select("sys", "id", "component")
+    return overrides.clusters(*scored(spark, sf_dir), 2).select("sys", "id", "component")
 
 
 @query
 def cc_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.damage(overrides.clusters(scores(spark, sf_dir), rows(spark, sf_dir), 2))
+    return evaluate.damage(overrides.clusters(*scored(spark, sf_dir), 2))
 
 
 @query
 def multi_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    false = scores(spark, sf_dir).filter((F.col("score") >= overrides.ACCEPT) & ~F.col("is_match"))
+    false = scored(spark, sf_dir)[0].filter((F.col("score") >= overrides.ACCEPT) & ~F.col("is_match"))
     return false.agg(F.count("*").alias("false_accepts"), F.count_if("multi").alias("with_multi"))
 
 
@@ -210,10 +213,9 @@ for _name in ("first", "recent", "majority", "priority"):
     QUERIES[f"surv_{_name}"] = _rule(_name)
 
 
-def golden_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def golden_rows(s: DataFrame, r: DataFrame) -> DataFrame:
     """Long form: cluster, field, value, source, key, seen of unwelded clusters."""
-    r = rows(spark, sf_dir)
-    c = overrides.clusters(scores(spark, sf_dir), r, 2)
+    c = written(overrides.clusters(s, r, 2), "clusters")
     sound = c.groupBy("component").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity")).filter("n = 1")
     kept = c.join(sound.select("component", "entity"), "component").select("component", "entity", F.col("sys").alias("source_system"), F.col("id").alias("source_row_id"))
     fields = ["npi", "given", "family", "suite", "city", "zip", "phone"]
@@ -224,7 +226,7 @@ def golden_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def surv_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = survive(golden_rows(spark, sf_dir), ["component", "field"], SOURCES)
+    g = survive(golden_rows(*scored(spark, sf_dir)), ["component", "field"], SOURCES)
     return g.select("component", "field", F.col("priority_value").alias("value"), F.col("priority_key").alias("key"))
 
 
@@ -242,8 +244,9 @@ def surv_lineage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surv_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of clusters whose golden value is the truth, by rule: the family name
     and the city of the entity's own board and payer rows stand for the truth."""
-    long = golden_rows(spark, sf_dir)
-    truth = rows(spark, sf_dir).filter("source_system = 'license_board'").select(F.col("entity_id").alias("entity"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("truth")) for f in ("family", "given", "city")))).alias("x")).select("entity", "x.*")
+    s, r = scored(spark, sf_dir)
+    long = written(golden_rows(s, r), "long")
+    truth = r.filter("source_system = 'license_board'").select(F.col("entity_id").alias("entity"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("truth")) for f in ("family", "given", "city")))).alias("x")).select("entity", "x.*")
     g = survive(long.filter("field in ('family', 'given', 'city')"), ["component", "field", "entity"], SOURCES)
     met = g.join(truth, ["entity", "field"])
     return met.groupBy("field").agg(*(F.round(F.avg(F.col(f"{n}_value").eqNullSafe(F.col("truth")).cast("int")), 6).alias(n) for n in ("first", "recent", "majority", "priority")), F.count("*").alias("clusters"))
@@ -261,8 +264,8 @@ def orders_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    s, r = scores(spark, sf_dir), rows(spark, sf_dir)
-    return s, r, overrides.clusters(s, r, 1), overrides.clusters(s, r, 2)
+    s, r = scored(spark, sf_dir)
+    return s, r, written(overrides.clusters(s, r, 1), "run1"), written(overrides.clusters(s, r, 2), "run2")
 
 
 @query
