@@ -26,15 +26,15 @@ def _unit(h: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0x1FFFFF)) + 0.5) / F.lit(float(1 << 21))
 
 
-def sample(term: Column, ln_weight: Column, k: int) -> Column:
-    """The long by which a term of that weight enters sample k."""
-    h, g = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+def sample(term: Column, ln_weight: Column, k: Column) -> Column:
+    """The long by which a term of that weight enters sample k (an int column)."""
+    h, g = F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
     r = -F.ln(_unit(h, 0) * _unit(h, 21))
     c = F.ln(-F.ln(_unit(g, 0) * _unit(g, 21)))
-    b = _unit(h, 42) if k % 2 else _unit(g, 42)
+    b = F.when(k % 2 == 1, _unit(h, 42)).otherwise(_unit(g, 42))
     t = F.floor(ln_weight / r + b)
     rank = F.floor((c - r * (t - b + 1) + 4096.0) * float(1 << 30))
-    return F.shiftleft(rank, 20).bitwiseOR(F.xxhash64(term, t, F.lit(k)).bitwiseAND(F.lit(0xFFFFF)))
+    return F.shiftleft(rank, 20).bitwiseOR(F.xxhash64(term, t, k).bitwiseAND(F.lit(0xFFFFF)))
 
 
 def terms(text: Column) -> Column:
@@ -42,8 +42,9 @@ def terms(text: Column) -> Column:
     return F.split(F.lower(text), r"\s+")
 
 
-def _shown(samples: list[Column]) -> Column:
-    return F.concat(*(F.lpad(F.lower(F.hex(s.bitwiseAND(F.lit(0xFFFF)))), 4, "0") for s in samples))
+def _shown(samples: Column) -> Column:
+    """Hex of the samples in the order of k; '' where there are none."""
+    return F.array_join(F.transform(samples, lambda m: F.lpad(F.lower(F.hex(m.bitwiseAND(F.lit(0xFFFF)))), 4, "0")), "")
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -95,9 +96,12 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "
     sides = texts.select("range", "rn", F.explode(F.array(F.struct(F.lit(0).alias("side"), terms(F.col("text")).alias("t")), F.struct(F.lit(1).alias("side"), terms(F.col("edited")).alias("t")))).alias("s"))
     words = sides.select("range", "rn", F.col("s.side").alias("side"), F.explode("s.t").alias("word")).filter("word != ''").select("range", "rn", "side", F.xxhash64("word").alias("term"))
     counts = words.groupBy("range", "rn", "term").agg(F.sum(1 - F.col("side")).alias("w0"), F.sum("side").alias("w1"))
-    logs = counts.select("range", "rn", "term", *(F.when(F.col(w) > 0, F.ln(w)).alias(f"l{w[1]}") for w in ("w0", "w1")))
-    minima = logs.groupBy("range", "rn").agg(*(F.min(sample(F.col("term"), F.col(f"l{s}"), k)).alias(f"m{s}_{k}") for s in (0, 1) for k in range(samples)))
-    prints = minima.select("range", "rn", *(F.coalesce(_shown([F.col(f"m{s}_{k}") for k in range(samples)]), F.lit("")).alias(n) for s, n in ((0, "fingerprint"), (1, "edited_fingerprint"))))
+    # one row a term and sample keeps the loop small enough to be compiled; all steps
+    # need the texts' own ranges only, so none of these rows is shuffled
+    logs = counts.select("range", "rn", "term", *(F.when(F.col(w) > 0, F.ln(w)).alias(f"l{w[1]}") for w in ("w0", "w1")), F.explode(F.array(*map(F.lit, range(samples)))).alias("k"))
+    minima = logs.groupBy("range", "rn", "k").agg(*(F.min(sample(F.col("term"), F.col(f"l{s}"), F.col("k"))).alias(f"m{s}") for s in (0, 1)))
+    ranked = minima.groupBy("range", "rn").agg(F.sort_array(F.collect_list(F.struct("k", "m0", "m1"))).alias("m"))
+    prints = ranked.select("range", "rn", _shown(F.col("m.m0")).alias("fingerprint"), _shown(F.col("m.m1")).alias("edited_fingerprint"))
     rows = texts.select("range", "rn", "guest", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).join(prints, ["range", "rn"], "left")
     rows = rows.fillna("", ["fingerprint", "edited_fingerprint"])
     rows = rows.withColumn("next_print", F.lead("fingerprint").over(Window.partitionBy("range").orderBy("rn"))).filter("guest = 0")
