@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from kinweave.llm import _flat
 from kinweave.llm._flat import carried
-from kinweave.llm.ngram_jaccard import BLOCK_GRAMS, BLOCK_ROWS, MinHash, choose_bands, verify_blocks
+from kinweave.llm.ngram_jaccard import BLOCK_GRAMS, BLOCK_ROWS, MinHash, choose_bands, verify_sorted
 from kinweave.operators.components import connected_components
 from kinweave.plans.storage import Written, written
 
@@ -165,7 +165,8 @@ def line_dedup(docs: DataFrame, k: int = 8, threshold: float = 0.8, recall: floa
     spread = sets.withColumn("copies", F.lit(1).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cls", "component", "copies", "block", "grams", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")
     )
-    found = written(spread.groupBy("component", "p", "q").applyInPandas(verify_blocks(threshold), "a binary, b binary, links long"), "links")
+    pairs = spread.select("component", "p", "q", "cls", "block", "copies", "grams").repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
+    found = written(pairs.mapInArrow(verify_sorted(threshold), "a binary, b binary, links long"), "links")
 
     joined = connected_components(found.filter("b is not null").select("a", "b"))
     named = classes.withColumn("node", _key(F.col("hi"), F.col("lo"))).join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))

@@ -188,41 +188,76 @@ def intersections(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         yield i, row
 
 
+def _verify(names: list[bytes], block: np.ndarray, copies: np.ndarray, apart: bool, sets: list[np.ndarray], threshold: float) -> list[tuple[bytes, bytes | None, int]]:
+    """How many rows each class links with, and a spanning forest of the links;
+    `apart`: only classes of different blocks are compared."""
+    size = np.array([len(s) for s in sets])
+    links, parent, out = np.zeros(len(sets), np.int64), list(range(len(sets))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, common in intersections(sets):
+        near = common / (size[i] + size - common) >= threshold
+        near[i] = False
+        if apart:
+            near &= block != block[i]
+        links[i] = copies[near].sum()
+        for j in np.flatnonzero(near[:i]):
+            a, b = root(i), root(int(j))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((names[i], names[int(j)], 0))
+    return out + [(n, None, int(k)) for n, k in zip(names, links) if k]
+
+
 def verify_blocks(threshold: float):
-    """One pair of blocks: how many rows each class links with, and a spanning
-    forest of the links found."""
+    """One pair of blocks, as a group of its own."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("cls").reset_index(drop=True)
-        names, block, copies = group["cls"].tolist(), group["block"].to_numpy(), group["copies"].to_numpy()
-        p, q = int(group["p"].iloc[0]), int(group["q"].iloc[0])
-        sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
-        size = np.array([len(s) for s in sets])
-        links, parent, out = np.zeros(len(sets), np.int64), list(range(len(sets))), []
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for i, common in intersections(sets):
-            near = common / (size[i] + size - common) >= threshold
-            near[i] = False
-            if p != q:
-                near &= block != block[i]
-            links[i] = copies[near].sum()
-            for j in np.flatnonzero(near[:i]):
-                a, b = root(i), root(int(j))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out.append((names[i], names[int(j)], 0))
-        out += [(n, None, int(k)) for n, k in zip(names, links) if k]
+        apart = int(group["p"].iloc[0]) != int(group["q"].iloc[0])
+        out = _verify(group["cls"].tolist(), group["block"].to_numpy(), group["copies"].to_numpy(), apart, [np.frombuffer(g, np.uint64) for g in group["grams"]], threshold)
         return pd.DataFrame({"a": [x[0] for x in out], "b": [x[1] for x in out], "links": np.array([x[2] for x in out], np.int64)})
 
     return run
 
 
+def verify_sorted(threshold: float):
+    """The same over rows (component, p, q, cls, block, copies, grams) that are
+    dealt and sorted by (component, p, q): no group needs a call of its own, and no
+    more than one pair of blocks is held beside a batch."""
+
+    def found(key: tuple, rows: dict[bytes, tuple]) -> list[tuple[bytes, bytes | None, int]]:
+        if len(rows) < 2:
+            return []
+        block, copies, grams = zip(*rows.values())
+        return _verify(list(rows), np.array(block), np.array(copies), key[1] != key[2], [np.frombuffer(g, np.uint64) for g in grams], threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, {}
+        for batch in batches:
+            out = []
+            component, p, q, cls, block, copies = (batch.column(c).to_pylist() for c in range(6))
+            for i, name in enumerate(cls):
+                if (mine := (component[i], p[i], q[i])) != key:
+                    out += found(key, rows)
+                    key, rows = mine, {}
+                rows.setdefault(name, (block[i], copies[i], batch.column(6)[i].as_py()))
+            yield _links(out)
+        yield _links(found(key, rows))
+
+    return run
+
+
+def _links(out: list[tuple[bytes, bytes | None, int]]) -> pa.RecordBatch:
+    a, b, links = zip(*out) if out else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(links, pa.int64())], names=["a", "b", "links"])
+
+
 def ngram_jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
     threshold: float = 0.8, recall: float = 0.99999, max_hashes: int = 96,
