@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 SAMPLES = 32
 _CUTS = 4
+_TOGETHER = 2  # samples drawn in a row
 
 
 def _unit(h: Column, shift: int) -> Column:
@@ -96,12 +97,17 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "
     sides = texts.select("range", "rn", F.explode(F.array(F.struct(F.lit(0).alias("side"), terms(F.col("text")).alias("t")), F.struct(F.lit(1).alias("side"), terms(F.col("edited")).alias("t")))).alias("s"))
     words = sides.select("range", "rn", F.col("s.side").alias("side"), F.explode("s.t").alias("word")).filter("word != ''").select("range", "rn", "side", F.xxhash64("word").alias("term"))
     counts = words.groupBy("range", "rn", "term").agg(F.sum(1 - F.col("side")).alias("w0"), F.sum("side").alias("w1"))
-    # one row a term and sample keeps the loop small enough to be compiled; all steps
-    # need the texts' own ranges only, so none of these rows is shuffled
-    logs = counts.select("range", "rn", "term", *(F.when(F.col(w) > 0, F.ln(w)).alias(f"l{w[1]}") for w in ("w0", "w1")), F.explode(F.array(*map(F.lit, range(samples)))).alias("k"))
-    minima = logs.groupBy("range", "rn", "k").agg(*(F.min(sample(F.col("term"), F.col(f"l{s}"), F.col("k"))).alias(f"m{s}") for s in (0, 1)))
-    ranked = minima.groupBy("range", "rn").agg(F.sort_array(F.collect_list(F.struct("k", "m0", "m1"))).alias("m"))
-    prints = ranked.select("range", "rn", _shown(F.col("m.m0")).alias("fingerprint"), _shown(F.col("m.m1")).alias("edited_fingerprint"))
+    # a row a term and `_TOGETHER` samples: few rows to look up, and a loop small enough
+    # to be compiled; logarithms of weights stand below the generator, once a term. All
+    # steps need the texts' own ranges only, so none of these rows is shuffled
+    logs = counts.select("range", "rn", "term", *(F.when(F.col(w) == 1, F.lit(0.0)).when(F.col(w) > 1, F.ln(w)).alias(f"l{w[1]}") for w in ("w0", "w1")))
+    each = logs.withColumn("k", F.explode(F.array(*(F.lit(k) for k in range(0, samples, _TOGETHER)))))
+    drawn = [(s, j) for s in (0, 1) for j in range(_TOGETHER)]
+    minima = each.groupBy("range", "rn", "k").agg(*(F.min(sample(F.col("term"), F.col(f"l{s}"), F.col("k") + j)).alias(f"m{s}_{j}") for s, j in drawn))
+    sets = (F.array(*(F.col(f"m{s}_{j}") for j in range(_TOGETHER))).alias(f"m{s}") for s in (0, 1))
+    ranked = minima.select("range", "rn", "k", *sets).groupBy("range", "rn").agg(F.sort_array(F.collect_list(F.struct("k", "m0", "m1"))).alias("m"))
+    ranked = ranked.select("range", "rn", *(F.slice(F.flatten(f"m.m{s}"), 1, samples).alias(f"m{s}") for s in (0, 1)))
+    prints = ranked.select("range", "rn", _shown(F.col("m0")).alias("fingerprint"), _shown(F.col("m1")).alias("edited_fingerprint"))
     rows = texts.select("range", "rn", "guest", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).join(prints, ["range", "rn"], "left")
     rows = rows.fillna("", ["fingerprint", "edited_fingerprint"])
     rows = rows.withColumn("next_print", F.lead("fingerprint").over(Window.partitionBy("range").orderBy("rn"))).filter("guest = 0")
