@@ -23,7 +23,8 @@ _UNKNOWN = (1 << 40) + 1  # one unknown word, one token
 
 
 class LongestMatch:
-    """Token counts of single words under greedy longest match."""
+    """Token counts of single words under greedy longest match. An empty initial
+    piece is the bare word mark: one token where no longer piece begins the word."""
 
     def __init__(self, initial: Iterable[str], continuing: Iterable[str]):
         self.edges: list[dict[str, int]] = [{}, {}]  # 0: start of a word, 1: within one
@@ -42,6 +43,8 @@ class LongestMatch:
                     v = self.edges[v][c]
                 if piece:
                     ends.add(v)
+                elif root == 0:  # the bare word mark: a token, then the rest of the word continues it
+                    self.fail[0], self.pops[0] = 1, 1
         todo = deque([0, 1])
         while todo:
             u = todo.popleft()
@@ -93,7 +96,9 @@ class _Kept(dict):
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> _Kept:
     """The automaton of a sentencepiece model's pieces: those that begin with its
-    word mark start words, the others continue them."""
+    word mark (the bare mark among them) start words, the others continue them. Byte
+    pieces name bytes, not text, and are left out, so a character that no piece has
+    makes its word unknown."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)

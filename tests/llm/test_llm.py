@@ -147,6 +147,33 @@ def test_longest_match():
             assert automaton.count(word) == n
 
 
+def test_token_counts_real_vocabulary():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    longest = max(map(len, pieces))
+
+    def greedy(word):
+        rest, n = "▁" + word, 0
+        while rest:
+            j = next((j for j in range(min(longest, len(rest)), 0, -1) if rest[:j] in pieces), None)
+            if j is None:
+                return 0
+            rest, n = rest[j:], n + 1
+        return n
+
+    rng = random.Random(6)
+    pool = [*"0123456789.,-%çñßéüøÅ中文шяaetx", "The", "ing", "tion", "nique", "\x01", "\ue000"]
+    words = ["".join(rng.choices(pool, k=rng.randint(1, 9))) for _ in range(5000)]
+    automaton = token_counts.load(path).automaton
+    assert (automaton.count("2024"), automaton.count("0.5"), automaton.count("a\ue000")) == (5, 4, 0)
+    assert [automaton.count(w) for w in words] == [greedy(w) for w in words]
+    assert automaton.count("") == 0
+
+
 def test_license_scan(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License."), (2, "the mit licenses"), (3, None), (4, "Apache License, GNU General Public License"), (5, "Licensed under a CC BY-NC 4.0")], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.license_scan(df).collect()}
