@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.line_dedup import line_dedup
-from kinweave.llm.ngram_jaccard import ngram_jaccard_join
+from kinweave.llm.ngram_jaccard import ngram_jaccard_join, row_hash
 from kinweave.llm.packing import best_fit_packing
 from kinweave.llm.queries import vocabulary
 from kinweave.llm.substring_dedup import substring_dedup
 from kinweave.llm.toxicity import fit_toxicity, score_toxicity
-from kinweave.plans.storage import shared_folder
+from kinweave.plans.storage import shared_folder, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of like documents stays."""
-    kept = ngram_jaccard_join(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One document of each group of like documents stays: the rows that the
+    operator keeps, told apart by id and text. Of rows equal in both, of which it
+    keeps one, one stays."""
+    found = ngram_jaccard_join(docs, row_col="_row").groupBy("_row").agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).filter("k > 0")
+    marks = written(found.select("_row", (F.col("k") < F.col("n")).alias("repeated")), "kept")
+    keyed = docs.withColumn("_row", row_hash("doc_id", "text"))
+    single = keyed.join(marks.filter("not repeated"), "_row", "left_semi")
+    repeated = keyed.join(marks.filter("repeated"), "_row", "left_semi").dropDuplicates(["_row"])
+    return single.unionByName(repeated).select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm import _flat
@@ -111,7 +111,7 @@ def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(bands, rows)
         for batch in batches:
-            for i, j, words in _chunks_of(batch, 2):
+            for i, j, words in _chunks_of(batch, 3):
                 sets = list(gram_sets(words, n))
                 full = [s for s in sets if len(s)]
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -123,12 +123,12 @@ def _signatures(n: int, bands: int, rows: int):
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(1),
+                        part.column(0), part.column(1), part.column(2),
                         pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array(sizes),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                     ],
-                    names=["id", "row", "cls", "size", "bands"],
+                    names=["id", "row", "n", "cls", "size", "bands"],
                 )
 
     return run
@@ -258,31 +258,38 @@ def _links(out: list[tuple[bytes, bytes | None, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(links, pa.int64())], names=["a", "b", "links"])
 
 
+def row_hash(id_col: str, text_col: str) -> Column:
+    """What rows are told apart by: a 64-bit hash of id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def ngram_jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
-    threshold: float = 0.8, recall: float = 0.99999, max_hashes: int = 96,
+    threshold: float = 0.8, recall: float = 0.99999, max_hashes: int = 96, row_col: str | None = None,
 ) -> DataFrame:
     """Documents whose sets of word n-grams have a Jaccard similarity of at least
     `threshold`.
 
     Returns one row per input row: id, class_id (smallest id among texts with the
     same n-gram set), n_links (other rows linked directly, copies included),
-    component_id (smallest id reachable by links) and kept (one row per
-    component: the one whose id is component_id).
+    component_id (smallest id reachable by links), kept (exactly one row per
+    component: the first by id, nulls last, then by `row_hash`; of rows equal in id
+    and text any one) and, if `row_col` names it, the row_hash.
 
-    Null and word-free texts link with nothing. Rows with equal id are told apart
+    Null and word-free texts link with nothing, so all of them are kept. Rows with equal id are told apart
     by their text. A null id never becomes class_id or component_id while the
     class has another one. An empty table gives no rows. Other columns of the
     input are ignored.
     """
     bands, rows = choose_bands(threshold, recall, max_hashes)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keyed = base.select("id", F.xxhash64("id", "text").alias("row"), "text")
-    signed = written(keyed.mapInArrow(_signatures(n, bands, rows), "id long, row long, cls binary, size long, bands array<long>"), "signatures")
+    keyed = base.select("id", row_hash("id", "text").alias("row"), "text")
+    numbered = keyed.select("id", "row", F.monotonically_increasing_id().alias("n"), "text")  # tells equal rows apart once it is written
+    signed = written(numbered.mapInArrow(_signatures(n, bands, rows), "id long, row long, n long, cls binary, size long, bands array<long>"), "signatures")
 
     classes = (
         signed.filter("cls is not null").groupBy("cls")
-        .agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+        .agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "n")).alias("first"))
     )
     banded = classes.select("cls", F.posexplode("bands").alias("band", "hash")).select("cls", F.xxhash64("band", "hash").alias("bucket"))
     stars = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cls").alias("b")).filter("n > 1").drop("n")
@@ -304,14 +311,15 @@ def ngram_jaccard_join(
 
     linked = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     joined = connected_components(found.filter("b is not null").select("a", "b"))
-    named = joined.withColumnRenamed("node", "cls").join(classes.select("cls", "class_id"), "cls")
-    smallest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    labels = named.join(smallest, "component").select("cls", "component_id").join(linked, "cls", "left")
-    per_class = classes.select("cls", "class_id", "copies").join(labels, "cls", "left").select(
-        "cls", "class_id", F.coalesce("component_id", "class_id").alias("component_id"),
+    named = joined.withColumnRenamed("node", "cls").join(classes.select("cls", "class_id", "first"), "cls")
+    smallest = named.groupBy("component").agg(F.min("class_id").alias("component_id"), F.min("first").alias("component_first"))
+    labels = named.join(smallest, "component").select("cls", "component_id", "component_first").join(linked, "cls", "left")
+    per_class = classes.select("cls", "class_id", "copies", "first").join(labels, "cls", "left").select(
+        "cls", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("component_first", "first").getField("n").alias("first_n"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
-    return signed.select("id", "cls").join(per_class, "cls", "left").select(
+    return signed.select("id", "row", "n", "cls").join(per_class, "cls", "left").select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.coalesce("component_id", "id").eqNullSafe(F.col("id")), F.lit(True)).alias("kept"),
+        F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("n") == F.col("first_n"), F.lit(True)).alias("kept"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )

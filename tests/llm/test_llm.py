@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from kinweave.llm import bpe, cws, license_scan, line_dedup, ngram_jaccard, packing, substring_dedup, token_counts, toxicity, vector_range
 from kinweave.llm.queries import vocabulary
 
@@ -53,6 +54,30 @@ def test_ngram_jaccard(spark, table):
     assert ngram_jaccard.ngram_jaccard_join(table.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows repeated whole, other texts with a kept row's id, and null ids."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(WORDS, k=60)) for _ in range(5)]
+    near = [t.rsplit(" ", 1)[0] + " changed" for t in texts]
+    rows = [(1, texts[0])] * 3 + [(1, near[0]), (0, near[0]), (2, texts[1]), (2, near[1]), (2, texts[2]), (None, texts[3]), (None, near[3]), (None, texts[3]), (None, texts[4]), (7, near[4]), (7, near[4])]
+    group = [0] * 5 + [1, 1, 2] + [3] * 3 + [4] * 3
+    blank = [(8, None), (8, None), (None, ""), (9, "...")]
+    df = spark.createDataFrame([(i, t, 5, n % 2) for n, (i, t) in enumerate(rows + blank)], "doc_id long, text string, n_chars long, other int").repartition(3)
+    of = {t: g for (_, t), g in zip(rows, group)}
+    want = {0: 0, 1: 2, 2: 2, 3: None, 4: 7}
+
+    kept = [r for r in ngram_jaccard.ngram_jaccard_join(df).collect() if r.kept]
+    assert Counter(r.doc_id for r in kept) == Counter([*want.values(), *(i for i, _ in blank)])
+    stage = corpus_pipeline.near_duplicates(spark, df, "")
+    got = stage.collect()
+    assert stage.columns == df.columns and {tuple(r) for r in got} <= {tuple(r) for r in df.collect()}
+    assert Counter((of[r.text], r.doc_id) for r in got if r.text in of) == Counter(want.items())
+    assert Counter((r.doc_id, r.text) for r in got if r.text not in of) == Counter(blank)
+    # a passage that only repeated rows had is no repeat any more
+    cut = corpus_pipeline.substrings(spark, stage, "").collect()
+    assert Counter(r.text for r in cut if r.text) == Counter(r.text for r in got if r.text)
+
+
 def test_substring_dedup(table):
     rows = corpus()
     words = [re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in rows]
