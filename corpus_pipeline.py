@@ -68,7 +68,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: SQL has no way to train a classifier; tests compare the stages with brute force.
+#: SQL has no way to train a classifier; tests compare line_dedup, ngram_jaccard and
+#: substring_dedup with brute force and packing by its token totals, on a small table;
+#: no test runs the toxicity stage or `run`.
 ORACLE_SQL = None
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from kinweave.llm import bpe, cws, license_scan, line_dedup, ngram_jaccard, packing, substring_dedup, token_counts, toxicity, vector_range
+from kinweave.llm import _flat, bpe, cws, license_scan, line_dedup, ngram_jaccard, packing, substring_dedup, token_counts, toxicity, vector_range
 from kinweave.llm.queries import vocabulary
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -96,6 +96,112 @@ def test_line_dedup_exact(spark):
     assert got == {1: "same line here it is\nother words stand there", 2: "\nnew", 3: "", 4: ""}
 
 
+def fuzzy_lines(seed=11):
+    """Documents of lines of which some are changed in a letter or two."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choices("abcdefghij ", k=rng.randint(40, 90))).strip() for _ in range(12)]
+    docs = []
+    for i in range(40):
+        lines = []
+        for _ in range(rng.randint(0, 6)):
+            x = rng.choice(base)
+            for _ in range(rng.randint(0, 2)):
+                at = rng.choice([0, len(x) - 1, rng.randrange(len(x))])
+                x = x[:at] + rng.choice("xyz") + x[at + 1 :]
+            lines.append(rng.choice([x, x, "", "short", f" {x}\t"]))
+        docs.append((i if i != 7 else None, "\n".join(lines)))
+    return docs
+
+
+def lines_by_force(docs, k=8, threshold=0.8):
+    """{(id, text): (lines removed, kept text)}: the first line of each component stays."""
+    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is not None, docs[i][0] or 0))
+    lines = [(i, p, x.strip(" \t\r\f\v")) for i in order for p, x in enumerate(docs[i][1].split("\n"))]
+    lines = [x for x in lines if x[2]]
+    sets = [{x[i : i + k] for i in range(max(1, len(x) - k + 1))} for _, _, x in lines]
+    root = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    gone = {lines[a][:2] for a in range(len(lines)) if root[a] != a}
+    return {d: (sum(g[0] == i for g in gone), "\n".join(x for p, x in enumerate(d[1].split("\n")) if (i, p) not in gone)) for i, d in enumerate(docs)}
+
+
+@pytest.mark.parametrize("block", [None, 3])
+def test_line_dedup_fuzzy(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(line_dedup, "BLOCK_ROWS", block)
+    docs = fuzzy_lines()
+    want = lines_by_force(docs)
+    assert sum(n for n, _ in want.values()) > 30
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_removed, r.kept_text) for r in got) == Counter((d[0], *want[d]) for d in docs)
+
+
+def test_ngram_jaccard_in_blocks(spark, monkeypatch):
+    """Groups cut into blocks of a few classes, against every pair."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_ROWS", 3)
+    rng = random.Random(12)
+    docs = []
+    for i in range(3):
+        w = rng.choices(WORDS, k=100)
+        for j in range(12):
+            docs.append((20 * i + j, " ".join(w)))
+            w[rng.choice([0, 50, 98])] = rng.choice(WORDS)
+    sets = [{tuple(t.split()[p : p + 5]) for p in range(96)} for _, t in docs]
+    near = [[j for j in range(36) if j != i and len(a & sets[j]) / len(a | sets[j]) >= 0.8] for i, a in enumerate(sets)]
+    first = list(range(36))
+    for _ in range(36):
+        first = [min([first[i], *(first[j] for j in near[i])]) for i in range(36)]
+    got = ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert max(map(len, near)) > 3
+    assert {r.doc_id: (r.n_links, r.component_id, r.kept) for r in got} == {d[0]: (len(near[i]), docs[first[i]][0], first[i] == i) for i, d in enumerate(docs)}
+
+
+def test_pipeline_stages(spark):
+    """Stages after the classifier, each on what the one before kept; the other columns stay with their rows."""
+    docs = [(i, t, "en", len(t)) for i, t in fuzzy_lines(13)]
+    rng = random.Random(14)
+    passage, words = " ".join(rng.choices(WORDS, k=40)), lambda n: " ".join(rng.choices(WORDS, k=n))
+    docs += [(100 + i, f"{words(30)} {passage} {words(30)}", f"l{i}", None) for i in range(3)]
+    docs += [(110, docs[-1][1].rsplit(" ", 1)[0] + " changed", "l9", None), (120, "  kept \n\n layout ", "l8", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").repartition(3)
+
+    cut = corpus_pipeline.lines(spark, df, "").localCheckpoint()
+    want = lines_by_force([d[:2] for d in docs])
+    assert Counter(map(tuple, cut.collect())) == Counter((d[0], t := want[d[:2]][1], d[2], len(t)) for d in docs)
+    kept = corpus_pipeline.near_duplicates(spark, cut, "").localCheckpoint()
+    rows = [tuple(r) for r in cut.collect()]
+    grams = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())(re.findall(r"[0-9a-z]+", r[1])) for r in rows]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    root = {i: i for i in order}
+    for n, i in enumerate(order):
+        for j in order[:n]:
+            if root[i] != root[j] and grams[i] and grams[j] and len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.8:
+                old, new = sorted((root[i], root[j]), key=order.index, reverse=True)
+                root = {k: new if v == old else v for k, v in root.items()}
+    stay = [rows[i] for i in order if root[i] == i]
+    assert Counter(map(tuple, kept.collect())) == Counter(stay)
+    thin = corpus_pipeline.substrings(spark, kept, "").localCheckpoint()
+    seen = Counter(tuple(w[i : i + 35]) for w in (r[1].split() for r in stay) for i in range(len(w) - 34))
+    left = Counter()
+    for r in stay:
+        w = r[1].split()
+        drop = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        t = " ".join(x for j, x in enumerate(w) if j not in drop) if drop else r[1]
+        left[r[0], t, r[2], len(t)] += 1
+    assert Counter(map(tuple, thin.collect())) == left and left != Counter(stay)
+    own, tokens = bpe.ByteBpe(vocabulary()), Counter()
+    for i, t, _, _ in left.elements():
+        tokens[i] += len(own.encode(*_flat.utf8(pa.array([t])))[0]) + 1  # and the end id
+    packed = Counter()
+    for r in corpus_pipeline.packing(spark, thin, "").collect():
+        packed[r.doc_id] += r.length
+    assert packed == tokens
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(30, 8))
