@@ -325,6 +325,28 @@ def test_fingerprints(spark, table):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+@pytest.mark.parametrize("samples", [cws.SAMPLES, 256])
+def test_fingerprints_estimate_generalised_jaccard(table, samples):
+    def exact(x, y):
+        a, b = (Counter(w for w in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if w) for t in (x, y))
+        return sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+
+    rows = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in corpus()))
+    want, got = {}, {}
+    for i, (some, n, t) in enumerate(rows):
+        nxt, half = rows[(i + 1) % len(rows)][2], len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        want.setdefault((n if some else None, hashlib.sha256(edited.encode()).hexdigest()), []).append((exact(t, edited), exact(t, nxt)))
+    for r in cws.edited_fingerprints(table, samples).collect():
+        got.setdefault((r.doc_id, r.edited_sha256), []).append((r.near_edited, r.near_next))
+    assert got.keys() == want.keys()
+    pairs = [(g, w) for k in want for gs, ws in zip(sorted(got[k]), sorted(want[k])) for g, w in zip(gs, ws)]
+    assert len(pairs) == 2 * len(rows) and any(0.2 < w < 0.8 for _, w in pairs)
+    assert all(abs(g - w) <= 5 * (w * (1 - w) / samples) ** 0.5 + 1e-9 for g, w in pairs)
+    inner = [(g - w) / (w * (1 - w) / samples) ** 0.5 for g, w in pairs if 0.1 < w < 0.9]
+    assert 0.5 < (sum(z * z for z in inner) / len(inner)) ** 0.5 < 1.5
+
+
 def test_toxicity_learns():
     rng = random.Random(5)
     texts, labels = [], []
