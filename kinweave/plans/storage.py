@@ -31,7 +31,8 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets the cluster delete shuffle files of plans that nothing refers to any
-    more; Spark does so only when the driver collects its garbage."""
+    more; Spark does so only when the driver collects its garbage. For operators
+    that have shuffled whole texts: nothing else asks for it."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -43,7 +44,6 @@ class Written:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{what}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
-        release(self.spark)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
