@@ -7,7 +7,10 @@ the bytes, so two executors always agree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,6 @@ from pyspark.sql import functions as F
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 #: Bytes of text worked on at a time; a longer single text is one chunk.
 CHUNK_BYTES = 1 << 21
@@ -39,23 +41,70 @@ def random_u64(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed * 1_000_003)) * np.uint64(_BASE))
 
 
+#: Places of a run that have random numbers of their own; later places mix them anew.
+_DEPTH = 64
+
+
+@functools.lru_cache(maxsize=8)
+def _places(seed: int) -> np.ndarray:
+    return random_u64(_DEPTH * 256, seed)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the byte runs at ascending `starts`. Each byte adds a random
+    number of its place and value (tabulation), so that no rule in the order of the
+    bytes makes runs collide, as it does in polynomials modulo 2**64."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    own = data[starts[0] :]
+    room = np.diff(np.append(starts - starts[0], len(own)))
+    place = np.arange(len(own), dtype=np.int32)
+    place -= np.repeat((starts - starts[0]).astype(np.int32), room)
+    value = _places(seed)[(place & (_DEPTH - 1)) << 8 | own]
+    if (room != sizes).any():
+        value[place >= np.repeat(sizes.astype(np.int32), room)] = 0
+    if sizes.max() > _DEPTH:
+        late = np.flatnonzero((place >= _DEPTH) & (value != 0))
+        value[late] = mix(value[late] + (place[late] >> 6).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(np.add.reduceat(value, starts - starts[0]) + sizes.astype(np.uint64) * np.uint64(_BASE))
+
+
 class Powers:
-    """Powers of an odd base modulo 2**64 and their inverses, grown on demand."""
+    """Powers of an odd base modulo 2**64 and their inverses, for hashes of short
+    windows by prefix sums."""
 
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
+    def __init__(self, base: int) -> None:
+        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > KEPT_POWERS:
+            return self._of(n)  # for one long text, and not kept
         if len(self.up) < n:
-            size = max(n, CHUNK_BYTES + 65536)
-            up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INV, np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            self.up, self.down = self._of(KEPT_POWERS)
         return self.up, self.down
 
+    def _of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = np.full(n, self.base, np.uint64), np.full(n, self.inverse, np.uint64)
+        up[0] = down[0] = 1
+        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+KEPT_POWERS = (1 << 20) + 1
+POWERS = (Powers(_BASE), Powers(0xC2B2AE3D27D4EB4F))
+
 
-_POWERS = Powers()
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that gives free memory back to the system when its task
+    ends: workers live on from task to task, beside those of other stages."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
 
 
 def separators(kind: str) -> np.ndarray:
@@ -121,17 +170,7 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.of = np.searchsorted(self.start, offsets)
-        self.hash = [self._hash(data, sep, seed + 7919 * i) for i in range(hashes)]
-
-    def _hash(self, data: np.ndarray, sep: np.ndarray, seed: int) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        table = random_u64(256, seed)
-        table[sep] = 0
-        up, down = _POWERS.of(len(data) + 1)
-        h = np.add.reduceat(table[data] * up[: len(data)], self.start)
-        h *= down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.hash = [run_hashes(data, self.start, self.end - self.start, seed + 7919 * i) for i in range(hashes)]
 
 
 def grams(h: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
@@ -147,18 +186,13 @@ def grams(h: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
     return mix(out)
 
 
-def rolling(h: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
-    """As grams(), by prefix sums: the cost does not grow with k."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = _POWERS.of(len(h) + 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mix(h + np.uint64(seed)) * up[: len(h)], out=sums[1:])
-    return mix((sums[k:] - sums[:n]) * down[:n])
-
-
 def carried(docs: DataFrame, columns: Sequence[str]) -> Column:
     """The columns that only pass through an operator, as the struct `rest`, whose
     fields have names of their own, so that no name can clash."""
     return F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(columns)), F.lit(0).alias("none")).alias("rest")
+
+
+def row_key(id_col: str = "id", text_col: str = "text", rest_col: str = "rest") -> Column:
+    """What rows are told apart by: 128 bits of id, text and the carried columns.
+    Rows with equal keys are equal in all that an operator returns."""
+    return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.to_json(rest_col), F.coalesce(text_col, F.lit("")))))

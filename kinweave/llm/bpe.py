@@ -4,7 +4,7 @@ Texts are cut into pretokens for a whole chunk at once, from the classes of
 their code points. Pretokens not met before are encoded together: their bytes
 lie in one flat symbol array, each round finds the lowest-rank pair of every word
 by binary search over the sorted pair keys and merges all of its places. Encoded
-pretokens are kept in a bounded store, found again by 64-bit hash.
+pretokens are kept in a bounded store, found again by 64-bit hash and compared byte by byte.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from kinweave.llm import _flat
 #: Pretokens and ids that the store may hold before it starts anew.
 STORE_WORDS = 500_000
 STORE_IDS = 4_000_000
+#: Longer pretokens are not kept.
+STORE_BYTES = 256
 #: Bytes of text encoded at a time; a longer single text is one chunk.
 ENCODE_BYTES = 1 << 20
 
@@ -79,7 +81,6 @@ class ByteBpe:
         self.byte_flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self.special = {k.encode(): v for k, v in added.items()}
         self.classes = np.full(0x110000, _UNKNOWN, np.uint8)
-        self.table = _flat.random_u64(256, 29)
         self._clear()
 
     # -- pretokens ---------------------------------------------------------
@@ -196,15 +197,14 @@ class ByteBpe:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.off = np.zeros(1 << 14, np.int64)
         self.len = np.zeros(1 << 14, np.int64)
+        self.raw = np.zeros(1 << 16, np.uint8)
+        self.raw_off = np.zeros((1 << 14) + 1, np.int64)
         for text, i in self.special.items():
             data = np.frombuffer(text, np.uint8)
-            self._add(self._hashes(data, np.zeros(1, np.int64)), np.array([i], np.uint32), np.array([0, 1]))
+            self._add(self._hashes(data, np.zeros(1, np.int64)), np.array([i], np.uint32), np.array([0, 1]), [text])
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        up, down = _flat._POWERS.of(len(data) + 1)
-        h = np.add.reduceat(self.table[data] * up[: len(data)], starts) * down[starts]
-        sizes = np.diff(np.append(starts, len(data))).astype(np.uint64)
-        return _flat.mix(h + sizes * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+        return _flat.run_hashes(data, starts, np.diff(np.append(starts, len(data))), 29) | np.uint64(1)
 
     def _find(self, key: np.ndarray) -> np.ndarray:
         """Index in the store, or -1."""
@@ -218,8 +218,15 @@ class ByteBpe:
             left, slot = left[more], (slot[more] + 1) & (_SLOTS - 1)
         return out
 
-    def _add(self, keys: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> None:
+    def _add(self, keys: np.ndarray, ids: np.ndarray, offsets: np.ndarray, words: list[bytes]) -> None:
         n, m = len(keys), len(ids)
+        own, begin = np.frombuffer(b"".join(words), np.uint8), int(self.raw_off[self.n_words])
+        while begin + len(own) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        while self.n_words + n >= len(self.raw_off):
+            self.raw_off = np.concatenate([self.raw_off, np.zeros_like(self.raw_off)])
+        self.raw[begin : begin + len(own)] = own
+        self.raw_off[self.n_words + 1 : self.n_words + n + 1] = begin + np.cumsum([len(w) for w in words])
         while self.n_ids + m > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n_words + n > len(self.off):
@@ -242,25 +249,34 @@ class ByteBpe:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         starts = self.pretokens(data, offsets)
-        keys = self._hashes(data, starts)
-        found = self._find(keys)
+        bytes_of = np.diff(np.append(starts, len(data)))
+        keys, raw = self._hashes(data, starts), data.tobytes()
+        short = bytes_of <= STORE_BYTES
+        found = np.where(short, self._find(keys), 0)
         if (found < 0).any():
             new = np.flatnonzero(found < 0)
             if self.n_words + len(new) > STORE_WORDS or self.n_ids > STORE_IDS:
                 distinct = len(np.unique(keys[new]))
                 if self.n_words + distinct > STORE_WORDS or self.n_ids > STORE_IDS:
                     self._clear()
-                    found = self._find(keys)
+                    found = np.where(short, self._find(keys), 0)
                     new = np.flatnonzero(found < 0)
             fresh, first = np.unique(keys[new], return_index=True)
-            ends = np.append(starts[1:], len(data))
-            raw = data.tobytes()
-            words = [raw[starts[i] : ends[i]] for i in new[first].tolist()]
-            self._add(fresh, *self.encode_words(words))
+            words = [raw[starts[i] : starts[i] + bytes_of[i]] for i in new[first].tolist()]
+            self._add(fresh, *self.encode_words(words), words)
             found[new] = self._find(keys[new])
-        sizes = self.len[found]
+        pool, off, sizes = self.ids, self.off[found], self.len[found]
+        # words that the store does not hold, or in whose place it holds others
+        at = np.minimum(np.repeat(self.raw_off[found] - starts, bytes_of) + np.arange(len(data)), len(self.raw) - 1)
+        same = short & (self.raw_off[found + 1] - self.raw_off[found] == bytes_of)
+        same &= np.logical_and.reduceat(self.raw[at] == data, starts)
+        if not same.all():
+            other = np.flatnonzero(~same)
+            ids, ends = self.encode_words([raw[starts[i] : starts[i] + bytes_of[i]] for i in other.tolist()])
+            off[other], sizes[other] = self.n_ids + ends[:-1], np.diff(ends)
+            pool = np.concatenate([self.ids[: self.n_ids], ids])
         total = np.concatenate([[0], np.cumsum(sizes)])
-        out = self.ids[np.repeat(self.off[found] - total[:-1], sizes) + np.arange(total[-1])]
+        out = pool[np.repeat(off - total[:-1], sizes) + np.arange(total[-1])]
         return out, total[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -303,21 +319,25 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long").withColumnRenamed("id", id_col)
+    return base.mapInArrow(_flat.trimmed(run), f"id {kind}, ids array<int>, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) of lists of ids; a null list gives the empty text."""
+    """(id, text) of lists of ids. A null list gives the empty text, bytes that are
+    not UTF-8 become U+FFFD, and ids that the vocabulary lacks, negative ones and
+    nulls are skipped. Rows with equal ids are rows of their own; an empty table
+    gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            texts = [bpe.decode(np.array(x or [], np.uint32)) for x in batch.column(1).to_pylist()]
+            known = len(bpe.byte_off) - 1
+            texts = [bpe.decode(np.array([i for i in x or [] if i is not None and 0 <= i < known], np.uint32)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     base = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return base.mapInArrow(_flat.trimmed(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,4 +361,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return base.mapInArrow(_flat.trimmed(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

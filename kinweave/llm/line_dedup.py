@@ -2,13 +2,17 @@
 verification and distributed union-find, keeping one line per component.
 
 1. One Arrow pass cuts texts into lines and gives each line a 128-bit hash and its
-   band hashes. That table, without any text, is written.
-2. A band bucket with different lines gives a star of candidate links; connected
-   components of these are the groups in which every pair is verified, as in the
-   n-gram Jaccard join: sets are read again from the source coordinates, travel
-   once, and groups beyond a block's size are compared block by block.
-3. Equal lines (one class, found by partial aggregation) and verified links make
-   components; of each, the line that comes first by (id, row, place) stays.
+   band hashes. Equal lines are a class, found by partial aggregation. That table,
+   without any text, is written; buckets are shared band hashes of classes.
+2. The lines of classes in shared buckets are read again, once, from the source
+   coordinates, and sent to their buckets. Candidates are verified inside a bucket
+   only, so chance candidates never chain into large groups; a pair is compared in
+   the first bucket that both its lines share.
+3. A bucket of more than BLOCK_ROWS lines or BLOCK_GRAMS shingles is dealt into
+   blocks, each with the bucket's least class as a pivot. Only lines that pivots and
+   blocks left in different components are then compared across blocks, so a large
+   group of near copies costs in proportion to its size, and nothing is dropped.
+4. Components of verified links keep the line that comes first by (id, row, place).
 """
 
 from __future__ import annotations
@@ -24,11 +28,16 @@ from pyspark.sql.types import StructType
 
 from kinweave.llm import _flat
 from kinweave.llm._flat import carried
-from kinweave.llm.ngram_jaccard import BLOCK_GRAMS, BLOCK_ROWS, MinHash, choose_bands, verify_sorted
+from kinweave.llm.ngram_jaccard import MinHash, choose_bands, intersections
 from kinweave.operators.components import connected_components
-from kinweave.plans.storage import Written, written
+from kinweave.plans.storage import Written, release
 
 _EDGES = " \t\r\f\v"
+#: Lines and shingles in a block of a bucket; a task holds two blocks at most.
+BLOCK_ROWS = 1024
+BLOCK_GRAMS = 1 << 20
+#: Pairs compared at a time, and lines of a bucket from which it is compared as a matrix.
+_PAIRS, _MATRIX = 1 << 18, 48
 
 
 def line_key(line: str) -> bytes:
@@ -41,7 +50,7 @@ def shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
     sizes = np.array([len(x) for x in lines], np.int64)
     first = np.cumsum(sizes) - sizes
-    up, down = _flat._POWERS.of(len(code) + 1)
+    up, down = _flat.POWERS[0].of(len(code) + 1)
     sums = np.zeros(len(code) + 1, np.uint64)
     np.cumsum(_flat.mix(code.astype(np.uint64) + np.uint64(77)) * up[: len(code)], out=sums[1:])
     n = np.maximum(sizes - k + 1, 1)
@@ -68,10 +77,11 @@ def _signatures(k: int, bands: int, rows: int):
         minhash = MinHash(bands, rows)
         for batch in batches:
             for i, texts in _texts(batch.column(2)):
-                owner, place, lines = [], [], []
+                owner, place, lines, head = [], [], [], []
                 for d, text in enumerate(texts):
                     for p, line in enumerate(text.split("\n")):
                         if line := line.strip(_EDGES):
+                            head.append(not owner or owner[-1] != i + d)
                             owner.append(i + d)
                             place.append(p)
                             lines.append(line)
@@ -82,50 +92,184 @@ def _signatures(k: int, bands: int, rows: int):
                 own = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(own), batch.column(1).take(own), pa.array(place, pa.int32()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                        pa.array(np.diff(np.append(heads, len(values)))),
+                        batch.column(0).take(own), batch.column(1).take(own), pa.array(place, pa.int32()), pa.array(head), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                        pa.array(np.diff(np.append(heads, len(values))).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * bands), pa.array(minhash(values, heads).view(np.int64).ravel())),
                     ],
-                    names=["id", "row", "place", "hi", "lo", "size", "bands"],
+                    names=["id", "row", "place", "head", "hi", "lo", "size", "bands"],
                 )
 
     return run
 
 
-def _sets(k: int):
+def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines at the places that are asked for, each with its class."""
+    for batch in batches:
+        asked = batch.column(1)
+        for i, texts in _texts(batch.column(0)):
+            lists = asked.slice(i, len(texts))
+            flat, lines = lists.flatten(), []
+            sizes = np.diff(lists.offsets.to_numpy()).tolist()
+            places = iter(flat.field("place").to_pylist())
+            for text, n in zip(texts, sizes):
+                parts = text.split("\n")
+                lines += [parts[next(places)].strip(_EDGES) for _ in range(n)]
+            yield pa.RecordBatch.from_arrays([flat.field("cls"), flat.field("buckets"), pa.array(lines, pa.string())], names=["cls", "buckets", "line"])
+
+
+class _Sets:
+    """Shingle sets of lines as one sorted array of (line, shingle), with 48 bits of a
+    shingle's hash beside 16 of the line's number."""
+
+    def __init__(self, lines: list[str], k: int):
+        values, heads = shingles(lines, k)
+        owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(heads, len(values))))
+        key = np.sort((owner << np.uint64(48)) | (values >> np.uint64(16)))
+        self.key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        self.at = np.searchsorted(self.key, np.arange(len(lines) + 1, dtype=np.uint64) << np.uint64(48))
+        self.size = np.diff(self.at)
+
+    def shingles(self, i: int) -> np.ndarray:
+        return self.key[self.at[i] : self.at[i + 1]] & np.uint64((1 << 48) - 1)
+
+    def near(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        """Which pairs have a Jaccard similarity of at least the threshold."""
+        few, many = np.where(self.size[a] <= self.size[b], a, b), np.where(self.size[a] <= self.size[b], b, a)
+        out = self.size[few] >= threshold * self.size[many] * (1 - 1e-9)
+        few, many, left = few[out], many[out], np.flatnonzero(out)
+        ends = np.cumsum(self.size[few])
+        for lo, hi in _flat.chunks(np.concatenate([[0], ends]), 1 << 21):
+            x, y = few[lo:hi], many[lo:hi]
+            n = self.size[x]
+            heads = np.cumsum(n) - n
+            own = self.key[np.repeat(self.at[x] - heads, n) + np.arange(int(n.sum()))]
+            ask = (own & np.uint64((1 << 48) - 1)) | (np.repeat(y, n).astype(np.uint64) << np.uint64(48))
+            spot = np.minimum(np.searchsorted(self.key, ask), len(self.key) - 1)
+            common = np.add.reduceat((self.key[spot] == ask).astype(np.int64), heads)
+            out[left[lo:hi]] = common / (n + self.size[y] - common) >= threshold
+        return out
+
+
+class _Forest:
+    """Union-find over a few numbered things, whole arrays of links at a time."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.root[a], self.root[b]
+            if (x == y).all():
+                return
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
+def _pairs_within(heads: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, a, b): the pairs a < b of places within groups, some at a time."""
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        i, j = np.triu_indices(n, 1)
+        groups = np.flatnonzero(sizes == n)
+        step = max(1, _PAIRS // len(i))
+        for at in range(0, len(groups), step):
+            g = groups[at : at + step]
+            yield np.repeat(g, len(i)), (heads[g][:, None] + i).ravel(), (heads[g][:, None] + j).ravel()
+
+
+def _verified(groups: list[tuple], k: int, threshold: float) -> pa.RecordBatch:
+    """A spanning forest, over classes, of the links within groups of rows (bucket,
+    class, line, buckets, block, label). Rows of different blocks or labels only are
+    compared where the group is one of two blocks."""
+    number: dict[bytes, int] = {}
+    lines, hot = [], []
+    for _, rows in groups:
+        for _, cls, line, buckets, _, _ in rows:
+            if cls not in number:
+                number[cls] = len(number)
+                lines.append(line)
+                hot.append(buckets)
+    sets, shared = _Sets(lines, k), np.array(hot, np.int64)
+    forest = _Forest(len(lines))
+    small = [(q, {number[r[1]]: r for r in rows}) for q, rows in groups]
+    flat = np.array([x for _, rows in small for x in rows], np.int64)
+    sizes = np.array([len(rows) for _, rows in small])
+    heads = np.cumsum(sizes) - sizes
+    bucket = np.array([next(iter(rows.values()))[0] for _, rows in small], np.int64)
+    across = np.array([q for q, _ in small])
+    plain = np.where(across | (sizes >= _MATRIX), 0, sizes)
+    for g, a, b in _pairs_within(heads, plain):
+        a, b = flat[a], flat[b]
+        same = (shared[a] == shared[b]) & (shared[a] != 0)
+        first = shared[a, same.argmax(axis=1)]
+        mine = (first == bucket[g]) & (forest.root[a] != forest.root[b])  # other pairs are met elsewhere, or joined
+        a, b = a[mine], b[mine]
+        near = sets.near(a, b, threshold)
+        forest.join(a[near], b[near])
+    for g in np.flatnonzero((sizes > 1) & (across | (sizes >= _MATRIX))).tolist():
+        own = flat[heads[g] : heads[g] + sizes[g]]
+        rows = list(small[g][1].values())
+        block = np.array([r[4] for r in rows])
+        label = np.unique([r[5] or r[1] for r in rows], return_inverse=True)[1]
+        size = sets.size[own]
+        for i, common in intersections([sets.shingles(x) for x in own.tolist()]):
+            near = common[:i] / (size[i] + size[:i] - common[:i]) >= threshold
+            if across[g]:
+                near &= (block[:i] != block[i]) & (label[:i] != label[i])
+            j = np.flatnonzero(near)
+            if len(j):
+                forest.join(np.full(len(j), own[i]), own[j])
+    names = list(number)
+    moved = np.flatnonzero(forest.root != np.arange(len(names))).tolist()
+    return pa.RecordBatch.from_arrays([pa.array([names[i] for i in moved], pa.binary()), pa.array([names[forest.root[i]] for i in moved], pa.binary())], names=["a", "b"])
+
+
+def _verify(k: int, threshold: float):
+    """Links of rows (bucket, p, q, block, cls, label, buckets, line) that are dealt and
+    sorted by (bucket, p, q): groups are compared many at a time, and no more than a
+    group is held beside a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, ready, held = None, [], [], 0
         for batch in batches:
-            asked = batch.column(1)
-            for i, texts in _texts(batch.column(0)):
-                wanted, lines = [], []
-                for d, text in enumerate(texts):
-                    parts = text.split("\n")
-                    for a in asked[i + d].as_py():
-                        wanted.append(a)
-                        lines.append(parts[a["place"]].strip(_EDGES))
-                values, heads = shingles(lines, k)
-                grams = [np.unique(v).tobytes() for v in np.split(values, heads[1:])]
-                columns = {c: [w[c] for w in wanted] for c in ("component", "blocks", "block")}
-                cls = [w["hi"].to_bytes(8, "big", signed=True) + w["lo"].to_bytes(8, "big", signed=True) for w in wanted]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls, pa.binary()), pa.array(columns["component"], pa.int64()), pa.array(columns["blocks"], pa.int32()), pa.array(columns["block"], pa.int32()), pa.array(grams, pa.binary())],
-                    names=["cls", "component", "blocks", "block", "grams"],
-                )
+            bucket, p, q, block, cls, label, buckets, line = (c.to_pylist() for c in batch.columns)
+            for i, name in enumerate(cls):
+                if (mine := (bucket[i], p[i], q[i])) != key:
+                    if len(rows) > 1:
+                        ready.append((key[1] != key[2], rows))
+                        held += sum(len(r[2]) + 64 for r in rows)
+                        if held > 1 << 20:
+                            yield _verified(ready, k, threshold)
+                            ready, held = [], 0
+                    key, rows = mine, []
+                rows.append((bucket[i], name, line[i], buckets[i], block[i], label[i]))
+        if len(rows) > 1:
+            ready.append((key[1] != key[2], rows))
+        if ready:
+            yield _verified(ready, k, threshold)
 
     return run
 
 
+_ROWS = ["bucket", "p", "q", "block", "cls", "label", "buckets", "line"]
+
+
+def _links(spread: DataFrame, k: int, threshold: float) -> DataFrame:
+    dealt = spread.select(_ROWS).repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    return dealt.mapInArrow(_flat.trimmed(_verify(k, threshold)), "a binary, b binary")
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_lines, n_removed, kept = [], [], []
-        for text, drop in zip(batch.column(1).fill_null(""), batch.column(2)):
+        for text, drop, again in zip(batch.column(1).fill_null(""), batch.column(2), batch.column(3)):
             lines = text.as_py().split("\n")
-            out = set(drop.as_py() or ())
+            out = {p for p, x in enumerate(lines) if x.strip(_EDGES)} if again.as_py() else set(drop.as_py() or ())
             n_lines.append(len(lines))
             n_removed.append(len(out))
             kept.append("\n".join(x for p, x in enumerate(lines) if p not in out) if out else text.as_py())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), batch.column(3)], names=["id", "n_lines", "n_removed", "kept_text", "rest"]
+            [batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), batch.column(4)], names=["id", "n_lines", "n_removed", "kept_text", "rest"]
         )
 
 
@@ -134,49 +278,74 @@ def line_dedup(docs: DataFrame, k: int = 8, threshold: float = 0.8, recall: floa
     k-character shingles have a Jaccard similarity of at least `threshold`.
 
     Returns one row per input row: id, n_lines, n_removed, kept_text, and the columns
-    named in `carry`. Lines part at
-    line feeds and are compared without blanks at their ends; blank lines are never
-    removed. Lines shorter than k match equal lines only. Null texts count as
-    empty. Rows equal in id and text are one row here: the same lines go from each.
-    Null ids come first. An empty table gives no rows; other columns are ignored.
+    named in `carry`. Lines part at line feeds and are compared without blanks at their
+    ends; blank lines are never removed. Lines shorter than k match equal lines only.
+    First is by id (null ids first), then by a hash of the row, then by place. Of rows
+    equal in id, text and carried columns one keeps its lines and the others lose all
+    that are not blank. Null texts count as empty. An empty table gives no rows; other
+    columns are ignored. Two lines at the threshold are found with probability `recall`.
     """
+    spark = docs.sparkSession
     bands, rows = choose_bands(threshold, recall, max_hashes)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), carried(docs, carry))
-    keyed = base.withColumn("row", F.xxhash64("id", "text"))
-    signed = Written(keyed.select("id", "row", "text").mapInArrow(_signatures(k, bands, rows), "id long, row long, place int, hi long, lo long, size long, bands array<long>"), "signatures")
-    places = Written(signed.df.drop("bands"), "lines")
-    lines = places.df
-
-    banded = signed.df.select("lo", F.posexplode("bands").alias("band", "hash")).select("lo", F.xxhash64("band", "hash").alias("bucket"))
-    stars = Written(banded.groupBy("bucket").agg(F.min("lo").alias("b"), F.max("lo").alias("x")).filter("b != x").drop("x"), "stars")
-    links = banded.join(stars.df, "bucket").filter("lo != b").select(F.col("lo").alias("a"), "b").distinct()
-    candidates = Written(connected_components(links), "candidates")
-    for table in (signed, stars):
-        table.drop()
+    keyed = base.withColumn("row", _flat.row_key())
+    signed = Written(keyed.select("id", "row", "text").mapInArrow(_flat.trimmed(_signatures(k, bands, rows)), "id long, row binary, place int, head boolean, hi long, lo long, size int, bands array<long>"), "signatures")
+    found = Written(signed.df.groupBy("hi", "lo").agg(F.min(F.struct("id", "row", "place")).alias("at"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+    places = Written(signed.df.select("id", "row", "place", "hi", "lo"), "lines")
+    repeats = Written(signed.df.filter("head").groupBy("row").count().filter("count > 1"), "repeats")
+    signed.drop()
+    release(spark)
+    lines, classes = places.df, found.df
+    repeated = not repeats.df.isEmpty()
 
-    held = Written(lines.groupBy("hi", "lo").agg(F.min(F.struct("id", "row", "place")).alias("at"), F.count("*").alias("copies"), F.first("size").alias("size")), "classes")
-    classes = held.df
-    members = classes.join(candidates.df.withColumnRenamed("node", "lo"), "lo")
-    groups = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    # shared buckets: one exchange, read by the count and by the join
+    banded = classes.select("lo", "size", F.posexplode("bands").alias("band", "hash")).select("lo", "size", F.xxhash64("band", "hash").alias("bucket")).repartition("bucket")
+    counted = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("grams"), F.min("lo").alias("pivot")).filter("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    placed = members.join(groups.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("hi", "lo"), F.col("blocks")).cast("int"))
-    asked = placed.groupBy("at.row").agg(F.collect_list(F.struct("at.place", "hi", "lo", "component", "blocks", "block")).alias("asked"))
-    sets = keyed.join(asked, "row").select("text", "asked").mapInArrow(_sets(k), "cls binary, component long, blocks int, block int, grams binary")
-    spread = sets.withColumn("copies", F.lit(1).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cls", "component", "copies", "block", "grams", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")
-    )
-    pairs = spread.select("component", "p", "q", "cls", "block", "copies", "grams").repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
-    found = written(pairs.mapInArrow(verify_sorted(threshold), "a binary, b binary, links long"), "links")
-
-    joined = connected_components(found.filter("b is not null").select("a", "b"))
-    named = classes.withColumn("node", _key(F.col("hi"), F.col("lo"))).join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    firsts = named.groupBy("root").agg(F.min("at").alias("first"), F.sum("copies").alias("all")).filter("all > 1")
+    members = Written(banded.join(counted.select("bucket", "pivot", blocks.alias("blocks")), "bucket").select("lo", "bucket", "blocks", (F.col("lo") == F.col("pivot")).alias("pivot")), "members")
+    release(spark)
+
+    hot = members.df.groupBy("lo").agg(F.collect_list("bucket").alias("hot"))
+    own = F.transform("bands", lambda h, i: F.xxhash64(i, h))
+    aligned = F.transform(own, lambda b: F.when(F.array_contains("hot", b), b).otherwise(F.lit(0).cast("long")))
+    wanted = classes.join(hot, "lo").select("at.row", "at.place", _key(F.col("hi"), F.col("lo")).alias("cls"), aligned.alias("buckets"))
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "cls", "buckets")).alias("asked"))
+    once = keyed
+    if repeated:
+        once = keyed.join(repeats.df, "row", "left_anti").select("row", "text").unionByName(keyed.join(repeats.df, "row", "left_semi").select("row", "text").dropDuplicates(["row"]))
+    candidates = Written(once.join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(_flat.trimmed(_asked_lines), "cls binary, buckets array<long>, line string"), "candidates")
+    release(spark)
+    each = candidates.df.withColumn("bucket", F.explode(F.filter("buckets", lambda b: b != 0))).withColumn("lo", F.conv(F.hex(F.substring("cls", 9, 8)), 16, -10).cast("long"))
+    placed = each.join(members.df, ["lo", "bucket"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    everywhere = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = placed.withColumn("p", F.explode(everywhere)).withColumn("q", F.col("p")).withColumn("label", F.lit(None).cast("binary"))
+    links = Written(_links(first, k, threshold), "links")
+    joined = Written(connected_components(links.df), "joined")
+    large = members.df.filter("blocks > 1")
+    if not large.isEmpty():
+        named = each.join(large, ["lo", "bucket"]).join(joined.df.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        mixed = named.groupBy("bucket").agg(F.min(F.coalesce("label", "cls")).alias("x"), F.max(F.coalesce("label", "cls")).alias("y")).filter("x != y").select("bucket")
+        others = named.join(mixed, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other != block")
+        second = Written(_links(others.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")), k, threshold), "links")
+        joined = Written(connected_components(links.df.unionByName(second.df)), "joined")
+        second.drop()
+    for table in (candidates, members, links):
+        table.drop()
+
+    named = classes.select("hi", "lo", "at", "copies").withColumn("node", _key(F.col("hi"), F.col("lo"))).join(joined.df, "node", "left").filter("component is not null or copies > 1")
+    named = named.withColumn("root", F.coalesce("component", "node"))
+    firsts = named.groupBy("root").agg(F.min("at").alias("first"))
     twice = named.join(firsts, "root").select("hi", "lo", "first")
     drops = Written(
-        lines.select("id", "row", "place", "hi", "lo").join(twice, ["hi", "lo"])
-        .filter(~F.struct("id", "row", "place").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("place").alias("drops")), "drops"
+        lines.join(twice, ["hi", "lo"]).filter(~F.struct("id", "row", "place").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("place").alias("drops")), "drops"
     )
-    for table in (places, held, candidates):
+    for table in (places, found, joined):
         table.drop()
-    cut = keyed.join(drops.df, "row", "left").select("id", "text", "drops", "rest").mapInArrow(_cut, StructType().add("id", "long").add("n_lines", "long").add("n_removed", "long").add("kept_text", "string").add(base.schema["rest"]))
-    return cut.select(F.col("id").alias(id_col), "n_lines", "n_removed", "kept_text", *(F.col("rest").getField(f"c{i}").alias(c) for i, c in enumerate(carry)))
+    release(spark)
+    source = keyed.withColumn("again", F.lit(False))
+    if repeated:
+        many = keyed.join(repeats.df, "row").dropDuplicates(["row"]).withColumn("again", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("count")), lambda c: c > 1))).drop("count")
+        source = source.join(repeats.df, "row", "left_anti").unionByName(many)
+    cut = source.join(drops.df.hint("shuffle_hash"), "row", "left").select("id", "text", "drops", "again", "rest")
+    done = cut.mapInArrow(_flat.trimmed(_cut), StructType().add("id", "long").add("n_lines", "long").add("n_removed", "long").add("kept_text", "string").add(base.schema["rest"]))
+    return done.select(F.col("id").alias(id_col), "n_lines", "n_removed", "kept_text", *(F.col("rest").getField(f"c{i}").alias(c) for i, c in enumerate(carry)))

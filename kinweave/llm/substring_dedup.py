@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 from kinweave.llm import _flat
 from kinweave.llm._flat import carried
 from kinweave.operators.components import connected_components
-from kinweave.plans.storage import Written, written
+from kinweave.plans.storage import Written, release, written
 
 _SEPARATORS = _flat.separators("space")
 
@@ -53,34 +53,49 @@ def _least(value: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Prefix:
-    """Hashes of any run of words, by prefix sums; `seed` picks the function."""
+    """Hashes of short runs of words (some 60 at most), by prefix sums in a base of
+    its own for each of the word hashes; `seed` picks the functions."""
 
     def __init__(self, words: _flat.Words, seed: int):
-        self.up, self.down = _flat._POWERS.of(len(words.start) + 1)
+        self.powers = [p.of(len(words.start) + 1) for p in _flat.POWERS]
         self.sums = []
-        for i, h in enumerate(words.hash):
+        for i, (h, (up, _)) in enumerate(zip(words.hash, self.powers)):
             s = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(_flat.mix(h + np.uint64(seed + i)) * self.up[: len(h)], out=s[1:])
+            np.cumsum(_flat.mix(h + np.uint64(seed + i)) * up[: len(h)], out=s[1:])
             self.sums.append(s)
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> list[np.ndarray]:
         tail = np.asarray(length).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return [_flat.mix((s[start + length] - s[start]) * self.down[start] + tail).view(np.int64) for s in self.sums]
+        return [_flat.mix((s[start + length] - s[start]) * down[start] + tail).view(np.int64) for s, (_, down) in zip(self.sums, self.powers)]
 
 
-def _word_chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, _flat.Words, np.ndarray, np.ndarray]]:
+def _run_hashes(words: _flat.Words, seed: int, start: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    """Hashes of runs of any length: each place has a random odd factor of its own."""
+    if not len(start):
+        return [np.zeros(0, np.int64) for _ in words.hash]
+    heads = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(heads, length)
+    at = np.repeat(start, length) + place
+    out = []
+    for i, h in enumerate(words.hash):
+        factor = _flat.mix(place.astype(np.uint64) + np.uint64((seed + i) * 1_000_003)) | np.uint64(1)
+        sums = np.add.reduceat(_flat.mix(h[at] + np.uint64(seed + i)) * factor, heads)
+        out.append(_flat.mix(sums + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
+    return out
+
+
+def _word_chunks(batch: pa.RecordBatch, column: int, seed: int = 0) -> Iterator[tuple[int, int, _flat.Words, np.ndarray, np.ndarray]]:
     data, offsets = _flat.utf8(batch.column(column))
     for i, j in _flat.chunks(offsets):
         at = offsets[i : j + 1]
         own = data[at[0] : at[-1]]
-        yield i, j, _flat.Words(own, at - at[0], _SEPARATORS, seed=101, hashes=2), own, at - at[0]
+        yield i, j, _flat.Words(own, at - at[0], _SEPARATORS, seed=101 + 31 * seed, hashes=2), own, at - at[0]
 
 
-def _blocks(span: int, k: int, only_kmers: bool):
+def _blocks(span: int, k: int, only_kmers: bool, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, _, words, _, _ in _word_chunks(batch, 1):
+            for i, _, words, _, _ in _word_chunks(batch, 1, seed):
                 if len(words.start) < span:
                     continue
                 kmers = _flat.grams(words.hash[0], k, seed=7)
@@ -100,40 +115,38 @@ def _blocks(span: int, k: int, only_kmers: bool):
                 hi, lo = _Prefix(words, 41).of(first, n + span - 1)
                 doc = owner[first]
                 yield pa.RecordBatch.from_arrays(
-                    [kmer, pa.array(hi), pa.array(lo), pa.array(rows[i + doc]), pa.array((first - words.of[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    [kmer, pa.array(hi), pa.array(lo), batch.column(0).take(pa.array(i + doc)), pa.array((first - words.of[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
                     names=["kmer", "hi", "lo", "row", "start", "n"],
                 )
 
     return run
 
 
-_READ = "kind int, hi long, lo long, copies long, row long, start int, n int, w1 long, w2 long"
+_READ = "kind int, hi long, lo long, copies long, row binary, start int, n int, w1 long, w2 long"
 
 
-def _read_sources(span: int):
+def _read_sources(span: int, seed: int):
     """kind 0: all windows of a block, one row each; kind 1: a span's own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, asked = batch.column(1), batch.column(2)
-            for i, j, words, _, _ in _word_chunks(batch, 0):
+            for i, j, words, _, _ in _word_chunks(batch, 0, seed):
                 lists = asked.slice(i, j - i)
                 flat = lists.flatten()
                 owner = np.repeat(np.arange(j - i), np.diff(lists.offsets.to_numpy()))
                 kind, hi, lo, copies, start, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("kind", "hi", "lo", "copies", "start", "n"))
                 again = _Prefix(words, 977)
-                own = row.slice(i, j - i).to_numpy(zero_copy_only=False)[owner]
+                own = row.slice(i, j - i).take(pa.array(owner))
                 at = words.of[owner] + start
-                out = []
                 for what in (0, 1):
                     pick = np.flatnonzero(kind == what)
                     times = n[pick] if what == 0 else np.ones(len(pick), np.int64)
                     pick = np.repeat(pick, times)
                     step = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
-                    length = span if what == 0 else n[pick].astype(np.int64) + span - 1
-                    w1, w2 = again.of(at[pick] + step, length)
-                    out.append((kind[pick], hi[pick], lo[pick], copies[pick], own[pick], (start[pick] + step).astype(np.int32), n[pick], w1, w2))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[c.split(" ")[0] for c in _READ.split(", ")])
+                    w1, w2 = again.of(at[pick] + step, span) if what == 0 else _run_hashes(words, 977, at[pick], n[pick].astype(np.int64) + span - 1)
+                    columns = [pa.array(c) for c in (kind[pick], hi[pick], lo[pick], copies[pick], (start[pick] + step).astype(np.int32), n[pick], w1, w2)]
+                    yield pa.RecordBatch.from_arrays([*columns[:4], own.take(pa.array(pick)), *columns[4:]], names=[c.split(" ")[0] for c in _READ.split(", ")])
 
     return run
 
@@ -164,13 +177,28 @@ def _remove(span: int, layout: bool):
     return run
 
 
-def repeated_spans(keyed: DataFrame, span: int = 35, k: int = 8) -> DataFrame:
+#: Blocks whose k-mer has more than a share of 1 / HOT of all blocks (so fewer than HOT
+#: k-mers) are dealt over SALTS partitions.
+HOT, SALTS = 1000, 64
+
+
+def repeated_spans(keyed: DataFrame, span: int = 35, k: int = 8, seed: int = 0) -> DataFrame:
     """(row, start, n): the windows start .. start + n - 1 of the text are
-    repeated. keyed: row long (a hash of the whole row), text."""
+    repeated. keyed: row binary (a key of the whole row), text.
+
+    Null and empty texts and texts of fewer than `span` words give no rows, nor does
+    an empty table; rows with equal keys are rows of their own, which repeat each
+    other and share their spans."""
     texts = keyed.select("row", "text")
-    kmers = texts.mapInArrow(_blocks(span, k, True), "kmer long").groupBy("kmer").count().filter("count > 1").select("kmer")
-    blocks = texts.mapInArrow(_blocks(span, k, False), "kmer long, hi long, lo long, row long, start int, n int")
-    blocks_held = Written(blocks.join(kmers, "kmer"), "blocks")
+    counted = Written(texts.mapInArrow(_flat.trimmed(_blocks(span, k, True, seed)), "kmer long").groupBy("kmer").count().filter("count > 1"), "kmers")
+    total = counted.df.agg(F.sum("count")).first()[0] or 0
+    hot = counted.df.filter(F.col("count") > max(total // HOT, 1000)).select("kmer", F.lit(True).alias("hot"))  # fewer than HOT rows
+    salts = F.when(F.col("count") > max(total // HOT, 1000), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    kmers = counted.df.select("kmer", F.explode(salts).alias("salt"))
+    blocks = texts.mapInArrow(_flat.trimmed(_blocks(span, k, False, seed)), "kmer long, hi long, lo long, row binary, start int, n int").join(F.broadcast(hot), "kmer", "left")
+    dealt = blocks.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    blocks_held = Written(dealt.join(kmers, ["kmer", "salt"]).drop("salt"), "blocks")
+    release(keyed.sparkSession)
     held = blocks_held.df
 
     classes = held.groupBy("hi", "lo", "kmer", "n").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("at"))
@@ -197,13 +225,14 @@ def repeated_spans(keyed: DataFrame, span: int = 35, k: int = 8) -> DataFrame:
 
     asked = opened.unionByName(spans.select(F.lit(1).alias("kind"), "hi", "lo", "copies", "row", "start", "n"))
     lists = asked.groupBy("row").agg(F.collect_list(F.struct("kind", "hi", "lo", "copies", "start", "n")).alias("asked"))
-    read = written(texts.join(lists, "row").select("text", "row", "asked").mapInArrow(_read_sources(span), _READ), "sources")
-    for table in (blocks_held, repeated_held):
+    read = written(texts.join(lists.hint("shuffle_hash"), "row").select("text", "row", "asked").mapInArrow(_flat.trimmed(_read_sources(span, seed)), _READ), "sources")
+    release(keyed.sparkSession)
+    for table in (counted, blocks_held, repeated_held):
         table.drop()
 
     differ = read.filter("kind = 1").groupBy("hi", "lo", "n").agg(F.min(F.struct("w1", "w2")).alias("x"), F.max(F.struct("w1", "w2")).alias("y")).filter("x != y")
     if not differ.isEmpty():
-        raise RuntimeError("two spans with equal hashes have different words")
+        return repeated_spans(keyed, span, k, seed + 1)  # two different spans had equal hashes: other hash functions
     windows = read.filter("kind = 0").select("hi", "lo", "copies", "row", "start", "w1", "w2").distinct()
     shared = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("total")).filter("total > 1")
     single = windows.filter("copies = 1").join(shared, ["w1", "w2"]).select("row", "start", F.lit(1).alias("n"))
@@ -226,8 +255,9 @@ def substring_dedup(
     if not 0 < k < span:
         raise ValueError("k must lie between 1 and span - 1")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), carried(docs, carry))
-    keyed = base.withColumn("row", F.xxhash64("id", "text"))
+    keyed = base.withColumn("row", _flat.row_key())
     spans = written(repeated_spans(keyed, span, k).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "cuts")
+    release(docs.sparkSession)
     kind = StructType().add("id", "long").add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add(base.schema["rest"])
-    cut = keyed.join(spans, "row", "left").select("id", "text", "spans", "rest").mapInArrow(_remove(span, layout), kind)
+    cut = keyed.join(spans.hint("shuffle_hash"), "row", "left").select("id", "text", "spans", "rest").mapInArrow(_flat.trimmed(_remove(span, layout)), kind)
     return cut.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", *(F.col("rest").getField(f"c{i}").alias(c) for i, c in enumerate(carry)))
