@@ -27,11 +27,12 @@ CHUNK_BYTES = 1 << 21
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the public splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    spare = np.right_shift(x, np.uint64(30))
+    x ^= spare
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    x ^= np.right_shift(x, np.uint64(27), out=spare)
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x ^= np.right_shift(x, np.uint64(31), out=spare)
     return x
 
 

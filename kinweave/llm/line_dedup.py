@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -52,18 +52,32 @@ def shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(sizes) - sizes
     up, down = _flat.POWERS[0].of(len(code) + 1)
     sums = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(_flat.mix(code.astype(np.uint64) + np.uint64(77)) * up[: len(code)], out=sums[1:])
+    letters = _LETTERS[np.minimum(code, len(_LETTERS) - 1)]
+    rare = np.flatnonzero(code >= len(_LETTERS))
+    letters[rare] = _flat.mix(code[rare].astype(np.uint64) + np.uint64(77))
+    letters *= up[: len(code)]
+    np.cumsum(letters, out=sums[1:])
     n = np.maximum(sizes - k + 1, 1)
     heads = np.cumsum(n) - n
     at = np.repeat(first - heads, n) + np.arange(int(n.sum()))
-    width = np.repeat(np.minimum(sizes, k), n)
-    return _flat.mix((sums[at + width] - sums[at]) * down[at] + width.astype(np.uint64)), heads
+    short = sizes < k
+    value = sums[np.minimum(at + k, len(code))] - sums[at]
+    if short.any():
+        value[heads[short]] = sums[first[short] + sizes[short]] - sums[first[short]]
+    value *= down[at]
+    value += np.uint64(k)
+    value[heads[short]] += sizes[short].astype(np.uint64) - np.uint64(k)
+    return _flat.mix(value), heads
+
+
+#: Numbers of the code points of the first plane.
+_LETTERS = _flat.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(77))
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     column = column.fill_null("")
     _, offsets = _flat.utf8(column)
-    for i, j in _flat.chunks(offsets, 1 << 20):
+    for i, j in _flat.chunks(offsets, 1 << 17):  # arrays that stay in a core's cache
         yield i, column.slice(i, j - i).to_pylist()
 
 
@@ -77,14 +91,13 @@ def _signatures(k: int, bands: int, rows: int):
         minhash = MinHash(bands, rows)
         for batch in batches:
             for i, texts in _texts(batch.column(2)):
-                owner, place, lines, head = [], [], [], []
+                owner, place, lines = [], [], []
                 for d, text in enumerate(texts):
-                    for p, line in enumerate(text.split("\n")):
-                        if line := line.strip(_EDGES):
-                            head.append(not owner or owner[-1] != i + d)
-                            owner.append(i + d)
-                            place.append(p)
-                            lines.append(line)
+                    own = [x.strip(_EDGES) for x in text.split("\n")]
+                    at = [p for p, x in enumerate(own) if x]
+                    owner += [i + d] * len(at)
+                    place += at
+                    lines += filter(None, own)
                 if not lines:
                     continue
                 values, heads = shingles(lines, k)
@@ -92,7 +105,7 @@ def _signatures(k: int, bands: int, rows: int):
                 own = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(own), batch.column(1).take(own), pa.array(place, pa.int32()), pa.array(head), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                        batch.column(0).take(own), batch.column(1).take(own), pa.array(place, pa.int32()), pa.array(np.diff(owner, prepend=-1) > 0), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
                         pa.array(np.diff(np.append(heads, len(values))).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * bands), pa.array(minhash(values, heads).view(np.int64).ravel())),
                     ],
@@ -114,7 +127,7 @@ def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text, n in zip(texts, sizes):
                 parts = text.split("\n")
                 lines += [parts[next(places)].strip(_EDGES) for _ in range(n)]
-            yield pa.RecordBatch.from_arrays([flat.field("cls"), flat.field("buckets"), pa.array(lines, pa.string())], names=["cls", "buckets", "line"])
+            yield pa.RecordBatch.from_arrays([flat.field("cls"), flat.field("hot"), pa.array(lines, pa.string())], names=["cls", "hot", "line"])
 
 
 class _Sets:
@@ -298,32 +311,33 @@ def line_dedup(docs: DataFrame, k: int = 8, threshold: float = 0.8, recall: floa
     lines, classes = places.df, found.df
     repeated = not repeats.df.isEmpty()
 
-    # shared buckets: one exchange, read by the count and by the join
-    banded = classes.select("lo", "size", F.posexplode("bands").alias("band", "hash")).select("lo", "size", F.xxhash64("band", "hash").alias("bucket")).repartition("bucket")
-    counted = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("grams"), F.min("lo").alias("pivot")).filter("n > 1")
+    # one exchange and one sort give the sizes of the buckets that classes share
+    banded = classes.select("lo", "size", F.posexplode("bands").alias("band", "hash")).select("lo", "size", F.xxhash64("band", "hash").alias("bucket"))
+    whole = Window.partitionBy("bucket")
+    sized = banded.select("lo", "bucket", F.count("*").over(whole).alias("n"), F.sum("size").over(whole).alias("grams"), (F.min("lo").over(whole) == F.col("lo")).alias("pivot")).filter("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    members = Written(banded.join(counted.select("bucket", "pivot", blocks.alias("blocks")), "bucket").select("lo", "bucket", "blocks", (F.col("lo") == F.col("pivot")).alias("pivot")), "members")
+    members = Written(sized.select("lo", "bucket", blocks.alias("blocks"), "pivot"), "members")
     release(spark)
 
-    hot = members.df.groupBy("lo").agg(F.collect_list("bucket").alias("hot"))
-    own = F.transform("bands", lambda h, i: F.xxhash64(i, h))
-    aligned = F.transform(own, lambda b: F.when(F.array_contains("hot", b), b).otherwise(F.lit(0).cast("long")))
-    wanted = classes.join(hot, "lo").select("at.row", "at.place", _key(F.col("hi"), F.col("lo")).alias("cls"), aligned.alias("buckets"))
-    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "cls", "buckets")).alias("asked"))
+    hot = members.df.groupBy("lo").agg(F.collect_list(F.struct("bucket", "blocks", "pivot")).alias("hot"))
+    mine = F.transform("bands", lambda h, i: F.try_element_at(F.filter("hot", lambda x: x["bucket"] == F.xxhash64(i, h)), F.lit(1)))
+    wanted = classes.join(hot, "lo").select("at.row", "at.place", _key(F.col("hi"), F.col("lo")).alias("cls"), mine.alias("hot"))
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "cls", "hot")).alias("asked"))
     once = keyed
     if repeated:
         once = keyed.join(repeats.df, "row", "left_anti").select("row", "text").unionByName(keyed.join(repeats.df, "row", "left_semi").select("row", "text").dropDuplicates(["row"]))
-    candidates = Written(once.join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(_flat.trimmed(_asked_lines), "cls binary, buckets array<long>, line string"), "candidates")
+    candidates = Written(once.join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(_flat.trimmed(_asked_lines), "cls binary, hot array<struct<bucket:long,blocks:int,pivot:boolean>>, line string"), "candidates")
     release(spark)
-    each = candidates.df.withColumn("bucket", F.explode(F.filter("buckets", lambda b: b != 0))).withColumn("lo", F.conv(F.hex(F.substring("cls", 9, 8)), 16, -10).cast("long"))
-    placed = each.join(members.df, ["lo", "bucket"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    buckets = F.transform("hot", lambda x: F.coalesce(x["bucket"], F.lit(0).cast("long"))).alias("buckets")
+    each = candidates.df.select("cls", "line", buckets, F.explode(F.filter("hot", lambda x: x.isNotNull())).alias("x")).select("cls", "line", "buckets", "x.*", F.pmod(F.xxhash64("cls"), F.col("x.blocks")).cast("int").alias("block"))
     everywhere = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = placed.withColumn("p", F.explode(everywhere)).withColumn("q", F.col("p")).withColumn("label", F.lit(None).cast("binary"))
+    first = each.withColumn("p", F.explode(everywhere)).withColumn("q", F.col("p")).withColumn("label", F.lit(None).cast("binary"))
     links = Written(_links(first, k, threshold), "links")
+    release(spark)
     joined = Written(connected_components(links.df), "joined")
-    large = members.df.filter("blocks > 1")
-    if not large.isEmpty():
-        named = each.join(large, ["lo", "bucket"]).join(joined.df.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    large = each.filter("blocks > 1")
+    if not members.df.filter("blocks > 1").isEmpty():
+        named = large.join(joined.df.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left")
         mixed = named.groupBy("bucket").agg(F.min(F.coalesce("label", "cls")).alias("x"), F.max(F.coalesce("label", "cls")).alias("y")).filter("x != y").select("bucket")
         others = named.join(mixed, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other != block")
         second = Written(_links(others.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")), k, threshold), "links")

@@ -89,12 +89,14 @@ class MinHash:
         """flat: the values of all sets, each set beginning at its head and not
         empty. One row of band hashes per set."""
         x = (flat >> np.uint64(32)).astype(np.uint32)
-        out = np.empty((len(heads), self.bands), np.uint64)
+        out, hashed = np.empty((len(heads), self.bands), np.uint64), np.empty_like(x)
         for b in range(self.bands):
             h = np.full(len(heads), b * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
             for r in range(self.rows):
                 k = b * self.rows + r
-                h += np.minimum.reduceat(x * self.mul[k] + self.add[k], heads).astype(np.uint64) * self.coef[r]
+                np.multiply(x, self.mul[k], out=hashed)
+                np.add(hashed, self.add[k], out=hashed)
+                h += np.minimum.reduceat(hashed, heads).astype(np.uint64) * self.coef[r]
             out[:, b] = _flat.mix(h)
         return out
 
