@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,10 @@ def release(spark: SparkSession) -> None:
     """Lets the cluster delete shuffle files of plans that nothing refers to any
     more; Spark does so only when the driver collects its garbage. For operators
     that have shuffled whole texts: nothing else asks for it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # listeners may still hold a plan during the first
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 class Written:
