@@ -22,6 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,36 +45,46 @@ def line_key(line: str) -> bytes:
     return hashlib.blake2b(line.encode(), digest_size=16).digest()
 
 
-def shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, heads) of the k-character shingles of non-empty lines; a line
-    shorter than k is one shingle."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    sizes = np.array([len(x) for x in lines], np.int64)
+#: Numbers of the code points of the first plane, and factors of rolling steps.
+_LETTERS = _flat.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(77))
+_STEPS = _flat.random_u64(64, 23) | np.uint64(1)
+
+
+def _windows(x: np.ndarray, k: int) -> np.ndarray:
+    """A number for the k values from each place, by doubling."""
+    out, width, power, size, step = None, 0, x, 1, 0
+    while k >> step:
+        if k >> step & 1:
+            out = power if out is None else out[: len(power) - width] * _STEPS[2 * step] + power[width:]
+            width += size
+        if k >> (step + 1):
+            power = power[: len(power) - size] * _STEPS[2 * step + 1] + power[size:]
+            size *= 2
+        step += 1
+    return out
+
+
+def shingles(text: str, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, heads) of the k-character shingles of non-empty lines of these sizes
+    that stand one after another in text; a line shorter than k is one shingle."""
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     first = np.cumsum(sizes) - sizes
-    up, down = _flat.POWERS[0].of(len(code) + 1)
-    sums = np.zeros(len(code) + 1, np.uint64)
     letters = _LETTERS[np.minimum(code, len(_LETTERS) - 1)]
     rare = np.flatnonzero(code >= len(_LETTERS))
     letters[rare] = _flat.mix(code[rare].astype(np.uint64) + np.uint64(77))
-    letters *= up[: len(code)]
-    np.cumsum(letters, out=sums[1:])
     n = np.maximum(sizes - k + 1, 1)
     heads = np.cumsum(n) - n
-    at = np.repeat(first - heads, n) + np.arange(int(n.sum()))
-    short = sizes < k
-    value = sums[np.minimum(at + k, len(code))] - sums[at]
-    if short.any():
-        value[heads[short]] = sums[first[short] + sizes[short]] - sums[first[short]]
-    value *= down[at]
-    value += np.uint64(k)
-    value[heads[short]] += sizes[short].astype(np.uint64) - np.uint64(k)
+    inside = np.ones(len(code), bool)  # places where a shingle begins
+    late = np.repeat(first + n, sizes - n) + np.arange(int((sizes - n).sum())) - np.repeat(np.cumsum(sizes - n) - (sizes - n), sizes - n)
+    inside[late] = False
+    value = _windows(np.concatenate([letters, np.zeros(k - 1, np.uint64)]), k)[inside]
+    short = np.flatnonzero(sizes < k)
+    for i in short.tolist():
+        own = np.concatenate([letters[first[i] : first[i] + sizes[i]], np.zeros(k - sizes[i], np.uint64)])
+        value[heads[i]] = _windows(own, k)[0] + np.uint64(sizes[i])
     return _flat.mix(value), heads
 
 
-#: Numbers of the code points of the first plane.
-_LETTERS = _flat.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(77))
-
-
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     column = column.fill_null("")
     _, offsets = _flat.utf8(column)
@@ -100,7 +111,7 @@ def _signatures(k: int, bands: int, rows: int):
                     lines += filter(None, own)
                 if not lines:
                     continue
-                values, heads = shingles(lines, k)
+                values, heads = shingles("".join(lines), np.array([len(x) for x in lines]), k)
                 keys = np.frombuffer(b"".join(map(line_key, lines)), np.int64).reshape(-1, 2)
                 own = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
@@ -127,19 +138,19 @@ def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text, n in zip(texts, sizes):
                 parts = text.split("\n")
                 lines += [parts[next(places)].strip(_EDGES) for _ in range(n)]
-            yield pa.RecordBatch.from_arrays([flat.field("cls"), flat.field("hot"), pa.array(lines, pa.string())], names=["cls", "hot", "line"])
+            yield pa.RecordBatch.from_arrays([flat.field("hi"), flat.field("lo"), flat.field("hot"), pa.array(lines, pa.string())], names=["hi", "lo", "hot", "line"])
 
 
 class _Sets:
     """Shingle sets of lines as one sorted array of (line, shingle), with 48 bits of a
     shingle's hash beside 16 of the line's number."""
 
-    def __init__(self, lines: list[str], k: int):
-        values, heads = shingles(lines, k)
-        owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(heads, len(values))))
+    def __init__(self, text: str, sizes: np.ndarray, k: int):
+        values, heads = shingles(text, sizes, k)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), np.diff(np.append(heads, len(values))))
         key = np.sort((owner << np.uint64(48)) | (values >> np.uint64(16)))
         self.key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        self.at = np.searchsorted(self.key, np.arange(len(lines) + 1, dtype=np.uint64) << np.uint64(48))
+        self.at = np.searchsorted(self.key, np.arange(len(sizes) + 1, dtype=np.uint64) << np.uint64(48))
         self.size = np.diff(self.at)
 
     def shingles(self, i: int) -> np.ndarray:
@@ -190,86 +201,82 @@ def _pairs_within(heads: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.nda
             yield np.repeat(g, len(i)), (heads[g][:, None] + i).ravel(), (heads[g][:, None] + j).ravel()
 
 
-def _verified(groups: list[tuple], k: int, threshold: float) -> pa.RecordBatch:
-    """A spanning forest, over classes, of the links within groups of rows (bucket,
-    class, line, buckets, block, label). Rows of different blocks or labels only are
-    compared where the group is one of two blocks."""
-    number: dict[bytes, int] = {}
-    lines, hot = [], []
-    for _, rows in groups:
-        for _, cls, line, buckets, _, _ in rows:
-            if cls not in number:
-                number[cls] = len(number)
-                lines.append(line)
-                hot.append(buckets)
-    sets, shared = _Sets(lines, k), np.array(hot, np.int64)
-    forest = _Forest(len(lines))
-    small = [(q, {number[r[1]]: r for r in rows}) for q, rows in groups]
-    flat = np.array([x for _, rows in small for x in rows], np.int64)
-    sizes = np.array([len(rows) for _, rows in small])
-    heads = np.cumsum(sizes) - sizes
-    bucket = np.array([next(iter(rows.values()))[0] for _, rows in small], np.int64)
-    across = np.array([q for q, _ in small])
-    plain = np.where(across | (sizes >= _MATRIX), 0, sizes)
-    for g, a, b in _pairs_within(heads, plain):
-        a, b = flat[a], flat[b]
+def _verified(rows: pa.RecordBatch, heads: np.ndarray, k: int, threshold: float) -> pa.RecordBatch:
+    """A spanning forest, over classes, of the links within the groups that begin at
+    heads. Where a group is one of two blocks, only rows of different blocks and
+    labels are compared."""
+    bucket, p, q, block, hi, lo = (rows.column(c).to_numpy() for c in range(6))
+    flat = rows.column(7).flatten().to_numpy()
+    shared = flat.reshape(len(rows), -1)
+    lengths = pc.utf8_length(rows.column(8)).to_numpy().astype(np.int64)
+    data, _ = _flat.utf8(rows.column(8))
+    sets = _Sets(data.tobytes().decode(), lengths, k)
+    forest = _Forest(len(rows))
+    sizes = np.diff(np.append(heads, len(rows)))
+    matrix = (p[heads] != q[heads]) | (sizes >= _MATRIX)
+    for g, a, b in _pairs_within(heads, np.where(matrix, 0, sizes)):
         same = (shared[a] == shared[b]) & (shared[a] != 0)
         first = shared[a, same.argmax(axis=1)]
-        mine = (first == bucket[g]) & (forest.root[a] != forest.root[b])  # other pairs are met elsewhere, or joined
+        mine = (first == bucket[heads[g]]) & (forest.root[a] != forest.root[b])  # other pairs are met elsewhere, or joined
         a, b = a[mine], b[mine]
         near = sets.near(a, b, threshold)
         forest.join(a[near], b[near])
-    for g in np.flatnonzero((sizes > 1) & (across | (sizes >= _MATRIX))).tolist():
-        own = flat[heads[g] : heads[g] + sizes[g]]
-        rows = list(small[g][1].values())
-        block = np.array([r[4] for r in rows])
-        label = np.unique([r[5] or r[1] for r in rows], return_inverse=True)[1]
-        size = sets.size[own]
+    for g in np.flatnonzero((sizes > 1) & matrix).tolist():
+        own = np.arange(heads[g], heads[g] + sizes[g])
+        across = p[heads[g]] != q[heads[g]]
+        if across:
+            label = np.unique([x or str(i) for i, x in enumerate(rows.column(6).slice(heads[g], sizes[g]).to_pylist())], return_inverse=True)[1]
+        size, mine = sets.size[own], block[own]
         for i, common in intersections([sets.shingles(x) for x in own.tolist()]):
             near = common[:i] / (size[i] + size[:i] - common[:i]) >= threshold
-            if across[g]:
-                near &= (block[:i] != block[i]) & (label[:i] != label[i])
+            if across:
+                near &= (mine[:i] != mine[i]) & (label[:i] != label[i])
             j = np.flatnonzero(near)
             if len(j):
                 forest.join(np.full(len(j), own[i]), own[j])
-    names = list(number)
-    moved = np.flatnonzero(forest.root != np.arange(len(names))).tolist()
-    return pa.RecordBatch.from_arrays([pa.array([names[i] for i in moved], pa.binary()), pa.array([names[forest.root[i]] for i in moved], pa.binary())], names=["a", "b"])
+    moved = np.flatnonzero(forest.root != np.arange(len(rows)))
+    to = forest.root[moved]
+    return pa.RecordBatch.from_arrays([pa.array(hi[moved]), pa.array(lo[moved]), pa.array(hi[to]), pa.array(lo[to])], names=["a_hi", "a_lo", "b_hi", "b_lo"])
 
 
 def _verify(k: int, threshold: float):
-    """Links of rows (bucket, p, q, block, cls, label, buckets, line) that are dealt and
-    sorted by (bucket, p, q): groups are compared many at a time, and no more than a
-    group is held beside a batch."""
+    """Links of rows (_ROWS) that are dealt and sorted by (bucket, p, q): groups are
+    compared many at a time, and no more than a group is held beside a batch."""
+
+    def some(rows: pa.RecordBatch, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(heads):
+            _, at = _flat.utf8(rows.column(8))
+            for i, j in _flat.chunks(np.append(at[heads], at[-1]) + np.append(heads, len(rows)) * 32, 1 << 19):
+                end = heads[j] if j < len(heads) else len(rows)
+                yield _verified(rows.slice(heads[i], end - heads[i]), heads[i:j] - heads[i], k, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, ready, held = None, [], [], 0
+        left: pa.RecordBatch | None = None
         for batch in batches:
-            bucket, p, q, block, cls, label, buckets, line = (c.to_pylist() for c in batch.columns)
-            for i, name in enumerate(cls):
-                if (mine := (bucket[i], p[i], q[i])) != key:
-                    if len(rows) > 1:
-                        ready.append((key[1] != key[2], rows))
-                        held += sum(len(r[2]) + 64 for r in rows)
-                        if held > 1 << 20:
-                            yield _verified(ready, k, threshold)
-                            ready, held = [], 0
-                    key, rows = mine, []
-                rows.append((bucket[i], name, line[i], buckets[i], block[i], label[i]))
-        if len(rows) > 1:
-            ready.append((key[1] != key[2], rows))
-        if ready:
-            yield _verified(ready, k, threshold)
+            if not len(batch):
+                continue
+            rows = batch if left is None else pa.concat_batches([left, batch])
+            new = np.zeros(len(rows), bool)
+            for c in range(3):
+                own = rows.column(c).to_numpy()
+                new[1:] |= own[1:] != own[:-1]
+            heads = np.flatnonzero(new)
+            heads = np.concatenate([[0], heads])
+            yield from some(rows.slice(0, heads[-1]), heads[:-1])
+            left = rows.slice(heads[-1])
+        if left is not None:
+            yield from some(left, np.zeros(1, np.int64))
 
     return run
 
 
-_ROWS = ["bucket", "p", "q", "block", "cls", "label", "buckets", "line"]
+_ROWS = ["bucket", "p", "q", "block", "hi", "lo", "label", "buckets", "line"]
 
 
 def _links(spread: DataFrame, k: int, threshold: float) -> DataFrame:
     dealt = spread.select(_ROWS).repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    return dealt.mapInArrow(_flat.trimmed(_verify(k, threshold)), "a binary, b binary")
+    found = dealt.mapInArrow(_flat.trimmed(_verify(k, threshold)), "a_hi long, a_lo long, b_hi long, b_lo long")
+    return found.select(_key(F.col("a_hi"), F.col("a_lo")).alias("a"), _key(F.col("b_hi"), F.col("b_lo")).alias("b"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,24 +328,24 @@ def line_dedup(docs: DataFrame, k: int = 8, threshold: float = 0.8, recall: floa
 
     hot = members.df.groupBy("lo").agg(F.collect_list(F.struct("bucket", "blocks", "pivot")).alias("hot"))
     mine = F.transform("bands", lambda h, i: F.try_element_at(F.filter("hot", lambda x: x["bucket"] == F.xxhash64(i, h)), F.lit(1)))
-    wanted = classes.join(hot, "lo").select("at.row", "at.place", _key(F.col("hi"), F.col("lo")).alias("cls"), mine.alias("hot"))
-    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "cls", "hot")).alias("asked"))
+    wanted = classes.join(hot, "lo").select("at.row", "at.place", "hi", "lo", mine.alias("hot"))
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "hi", "lo", "hot")).alias("asked"))
     once = keyed
     if repeated:
         once = keyed.join(repeats.df, "row", "left_anti").select("row", "text").unionByName(keyed.join(repeats.df, "row", "left_semi").select("row", "text").dropDuplicates(["row"]))
-    candidates = Written(once.join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(_flat.trimmed(_asked_lines), "cls binary, hot array<struct<bucket:long,blocks:int,pivot:boolean>>, line string"), "candidates")
+    candidates = Written(once.join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(_flat.trimmed(_asked_lines), "hi long, lo long, hot array<struct<bucket:long,blocks:int,pivot:boolean>>, line string"), "candidates")
     release(spark)
     buckets = F.transform("hot", lambda x: F.coalesce(x["bucket"], F.lit(0).cast("long"))).alias("buckets")
-    each = candidates.df.select("cls", "line", buckets, F.explode(F.filter("hot", lambda x: x.isNotNull())).alias("x")).select("cls", "line", "buckets", "x.*", F.pmod(F.xxhash64("cls"), F.col("x.blocks")).cast("int").alias("block"))
+    each = candidates.df.select("hi", "lo", "line", buckets, F.explode(F.filter("hot", lambda x: x.isNotNull())).alias("x")).select("hi", "lo", "line", "buckets", "x.*", F.pmod(F.xxhash64("hi", "lo"), F.col("x.blocks")).cast("int").alias("block"))
     everywhere = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = each.withColumn("p", F.explode(everywhere)).withColumn("q", F.col("p")).withColumn("label", F.lit(None).cast("binary"))
+    first = each.withColumn("p", F.explode(everywhere)).withColumn("q", F.col("p")).withColumn("label", F.lit(None).cast("string"))
     links = Written(_links(first, k, threshold), "links")
     release(spark)
     joined = Written(connected_components(links.df), "joined")
     large = each.filter("blocks > 1")
     if not members.df.filter("blocks > 1").isEmpty():
-        named = large.join(joined.df.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left")
-        mixed = named.groupBy("bucket").agg(F.min(F.coalesce("label", "cls")).alias("x"), F.max(F.coalesce("label", "cls")).alias("y")).filter("x != y").select("bucket")
+        named = large.withColumn("node", _key(F.col("hi"), F.col("lo"))).join(joined.df.select("node", F.hex("component").alias("label")), "node", "left")
+        mixed = named.groupBy("bucket").agg(F.min(F.coalesce("label", F.hex("node"))).alias("x"), F.max(F.coalesce("label", F.hex("node"))).alias("y")).filter("x != y").select("bucket")
         others = named.join(mixed, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other != block")
         second = Written(_links(others.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")), k, threshold), "links")
         joined = Written(connected_components(links.df.unionByName(second.df)), "joined")

@@ -77,12 +77,12 @@ def set_key(grams: np.ndarray) -> bytes:
 
 
 class MinHash:
-    """Band hashes of sets of 64-bit values; all hash functions at once."""
+    """Band hashes of sets of 64-bit values. The values are mixed already, so a
+    random odd factor, a bijection, is hash function enough."""
 
     def __init__(self, bands: int, rows: int):
         self.bands, self.rows = bands, rows
         self.mul = _flat.random_u64(bands * rows, 11).astype(np.uint32) | np.uint32(1)
-        self.add = _flat.random_u64(bands * rows, 12).astype(np.uint32)
         self.coef = _flat.random_u64(rows, 13) | np.uint64(1)
 
     def __call__(self, flat: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -95,7 +95,6 @@ class MinHash:
             for r in range(self.rows):
                 k = b * self.rows + r
                 np.multiply(x, self.mul[k], out=hashed)
-                np.add(hashed, self.add[k], out=hashed)
                 h += np.minimum.reduceat(hashed, heads).astype(np.uint64) * self.coef[r]
             out[:, b] = _flat.mix(h)
         return out
