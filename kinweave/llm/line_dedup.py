@@ -88,7 +88,7 @@ def shingles(text: str, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     column = column.fill_null("")
     _, offsets = _flat.utf8(column)
-    for i, j in _flat.chunks(offsets, 1 << 17):  # arrays that stay in a core's cache
+    for i, j in _flat.chunks(offsets, 1 << 16):  # arrays that stay in a core's cache
         yield i, column.slice(i, j - i).to_pylist()
 
 
@@ -246,7 +246,7 @@ def _verify(k: int, threshold: float):
     def some(rows: pa.RecordBatch, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(heads):
             _, at = _flat.utf8(rows.column(8))
-            for i, j in _flat.chunks(np.append(at[heads], at[-1]) + np.append(heads, len(rows)) * 32, 1 << 19):
+            for i, j in _flat.chunks(np.append(at[heads], at[-1]) + np.append(heads, len(rows)) * 32, 1 << 17):
                 end = heads[j] if j < len(heads) else len(rows)
                 yield _verified(rows.slice(heads[i], end - heads[i]), heads[i:j] - heads[i], k, threshold)
 
@@ -321,22 +321,25 @@ def line_dedup(docs: DataFrame, k: int = 8, threshold: float = 0.8, recall: floa
     # one exchange and one sort give the sizes of the buckets that classes share
     banded = classes.select("lo", "size", F.posexplode("bands").alias("band", "hash")).select("lo", "size", F.xxhash64("band", "hash").alias("bucket"))
     whole = Window.partitionBy("bucket")
-    sized = banded.select("lo", "bucket", F.count("*").over(whole).alias("n"), F.sum("size").over(whole).alias("grams"), (F.min("lo").over(whole) == F.col("lo")).alias("pivot")).filter("n > 1")
+    sized = banded.select(
+        "lo", "bucket", F.count("*").over(whole).alias("n"), F.sum("size").over(whole).alias("grams"), F.min("lo").over(whole).alias("least"), F.bit_xor(F.xxhash64("lo")).over(whole).alias("who")
+    ).filter("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    members = Written(sized.select("lo", "bucket", blocks.alias("blocks"), "pivot"), "members")
+    # buckets with the same members, as the bands of two near copies mostly are, count as one
+    members = Written(sized.select("lo", "bucket", F.xxhash64("who", "n", "least").alias("who"), blocks.alias("blocks"), (F.col("least") == F.col("lo")).alias("pivot")), "members")
     release(spark)
 
-    hot = members.df.groupBy("lo").agg(F.collect_list(F.struct("bucket", "blocks", "pivot")).alias("hot"))
-    mine = F.transform("bands", lambda h, i: F.try_element_at(F.filter("hot", lambda x: x["bucket"] == F.xxhash64(i, h)), F.lit(1)))
+    hot = members.df.groupBy("lo").agg(F.collect_list(F.struct("bucket", "who", "blocks", "pivot")).alias("hot"))
+    mine = F.transform("bands", lambda h, i: F.try_element_at(F.filter("hot", lambda x: x["bucket"] == F.xxhash64(i, h)), F.lit(1)).dropFields("bucket"))
     wanted = classes.join(hot, "lo").select("at.row", "at.place", "hi", "lo", mine.alias("hot"))
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "hi", "lo", "hot")).alias("asked"))
     once = keyed
     if repeated:
         once = keyed.join(repeats.df, "row", "left_anti").select("row", "text").unionByName(keyed.join(repeats.df, "row", "left_semi").select("row", "text").dropDuplicates(["row"]))
-    candidates = Written(once.join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(_flat.trimmed(_asked_lines), "hi long, lo long, hot array<struct<bucket:long,blocks:int,pivot:boolean>>, line string"), "candidates")
+    candidates = Written(once.join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(_flat.trimmed(_asked_lines), "hi long, lo long, hot array<struct<who:long,blocks:int,pivot:boolean>>, line string"), "candidates")
     release(spark)
-    buckets = F.transform("hot", lambda x: F.coalesce(x["bucket"], F.lit(0).cast("long"))).alias("buckets")
-    each = candidates.df.select("hi", "lo", "line", buckets, F.explode(F.filter("hot", lambda x: x.isNotNull())).alias("x")).select("hi", "lo", "line", "buckets", "x.*", F.pmod(F.xxhash64("hi", "lo"), F.col("x.blocks")).cast("int").alias("block"))
+    buckets = F.transform("hot", lambda x: F.coalesce(x["who"], F.lit(0).cast("long"))).alias("buckets")
+    each = candidates.df.select("hi", "lo", "line", buckets, F.explode(F.array_distinct(F.filter("hot", lambda x: x.isNotNull()))).alias("x")).select("hi", "lo", "line", "buckets", F.col("x.who").alias("bucket"), "x.blocks", "x.pivot", F.pmod(F.xxhash64("hi", "lo"), F.col("x.blocks")).cast("int").alias("block"))
     everywhere = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = each.withColumn("p", F.explode(everywhere)).withColumn("q", F.col("p")).withColumn("label", F.lit(None).cast("string"))
     links = Written(_links(first, k, threshold), "links")
