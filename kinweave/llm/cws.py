@@ -17,8 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.plans.storage import Written, release
+
 SAMPLES = 32
 _CUTS = 4
+_STEPS = 256  # parts of the rows of an id that many rows share
 _TOGETHER = 2  # samples drawn in a row
 
 
@@ -54,6 +57,18 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(same / float(samples))
 
 
+def _above(bounds: list[int], x: Column) -> Column:
+    """How many of the ascending bounds are at most x, in two steps of about the
+    square root of their number."""
+    if not bounds:
+        return F.lit(0)
+    width = max(1, round(len(bounds) ** 0.5))
+    met = lambda c: F.size(F.filter(c, lambda b: b <= x))
+    coarse = bounds[width - 1 :: width]
+    passed = (met(F.array(*map(F.lit, coarse))) if coarse else F.lit(0)) * width
+    return passed + met(F.slice(F.array(*map(F.lit, bounds)), passed + 1, F.lit(width)))
+
+
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text: the last floor(n / 2) code
     points replaced by the first as many (or all) of the next text by id (after the
@@ -62,38 +77,46 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "
     Returns one row per input row: id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next. Null texts count as empty; texts
     without terms have the fingerprint ''. Null ids come first; rows with equal ids
-    follow one another by text. A single text is its own next. An empty table gives
-    no rows. Other columns are ignored.
+    follow one another by a hash of their text. A single text is its own next. An
+    empty table gives no rows. Other columns are ignored.
 
-    The order is cut into ranges at quantiles of the id, several for each shuffle
-    partition; the first text of a range is sent to the range before it as well, so
-    that no task sees more than its range.
+    The order is cut into ranges at quantiles of the id, and within an id that many
+    rows share at equal steps of the hash; the first text of a range is sent to the
+    range before it as well, so that no task sees more than its range. The texts are
+    exchanged twice, one time after the other: for the digests and for the samples.
     """
     spark = docs.sparkSession
     ranges = _CUTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cuts = base.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    bounds = sorted(set(cuts))  # fewer than `ranges`
-    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("id"))), F.lit(0)) if bounds else F.lit(0)
-    placed = base.withColumn("range", F.when(F.col("id").isNull(), F.lit(0)).otherwise(place))
-    order = F.struct(F.col("id"), F.col("text"))
-    firsts = sorted(((r["range"], r["id"], r["h"]) for r in placed.groupBy("range").agg(F.min(F.struct("id", F.xxhash64("text").alias("h"))).alias("m"), F.min_by(F.struct("id", F.xxhash64("text").alias("h")), order).alias("f")).select("range", "f.id", "f.h").collect()), key=lambda x: x[0])
-    if not firsts:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    total, cuts = base.agg(F.count("*"), F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()
+    if not total:
         return base.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_chars"), *(F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next"))
-    used = [r for r, _, _ in firsts]
-    before = {r: used[i - 1] for i, r in enumerate(used)}  # the first range's guest goes to the last
-    guests = spark.createDataFrame([(r, before[r], i, h) for r, i, h in firsts], "range int, guest_of int, first_id long, h long")
-    head = placed.join(F.broadcast(guests), "range").filter(F.col("id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("h")))
-    lead_row = head.dropDuplicates(["range"]).select("id", "text", F.col("guest_of").alias("range"), F.lit(1).alias("guest"))
-    both = placed.select("id", "text", "range", F.lit(0).alias("guest")).unionByName(lead_row)
-
-    line = Window.partitionBy("range").orderBy("guest", "id", "text")
+    heavy = [r["id"] for r in base.groupBy("id").count().filter(F.col("count") > max(total // ranges, 1)).select("id").collect()]  # fewer than `ranges`
+    alone = sorted(x for x in heavy if x is not None)
+    bounds = sorted({*(cuts or []), *alone, *(x + 1 for x in alone if x + 1 < 1 << 63)})
+    place = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_above(bounds, F.col("id")) + 1)
+    step = F.floor((F.shiftrightunsigned("h", 1) / float(1 << 63)) * _STEPS).cast("int")  # of the hash as an unsigned number
+    split = F.col("id").isin(alone) | F.lit(None in heavy) & F.col("id").isNull()
+    placed = base.withColumn("range", place * _STEPS + F.when(split, F.least(step, F.lit(_STEPS - 1))).otherwise(0))
+    order = (F.shiftrightunsigned("h", 1), F.col("h"))
+    firsts = placed.groupBy("range").agg(F.min(F.struct(F.col("id"), order[0].alias("u"), F.col("h"))).alias("f")).select("range", "f.id", "f.h").orderBy("range").collect()  # a row a range
+    used = [r["range"] for r in firsts]
+    before = dict(zip(used[1:] + used[:1], used))  # the first range's guest goes to the last
+    guests = spark.createDataFrame([(r["range"], before[r["range"]], r["id"], r["h"]) for r in firsts], "range int, guest_of int, first_id long, first_h long")
+    head = placed.join(F.broadcast(guests), "range").filter(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
+    lead_row = head.dropDuplicates(["range"]).select("id", "text", "h", F.col("guest_of").alias("range"), F.lit(1).alias("guest"))
+    both = placed.select("id", "text", "h", "range", F.lit(0).alias("guest")).unionByName(lead_row)
+
+    line = Window.partitionBy("range").orderBy("guest", "id", *order, "text")
     half = F.floor(F.length("text") / 2).cast("int")
-    seen = both.repartition("range").withColumn("rn", F.row_number().over(line)).withColumn("next", F.lead("text").over(line))
+    seen = both.repartition(ranges, "range").withColumn("rn", F.row_number().over(line)).withColumn("next", F.lead("text").over(line))
     texts = seen.select(
         "range", "rn", "guest", "id", "text", F.length("text").cast("long").alias("n_chars"),
         F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half)).alias("edited"),
     )
+    digests = Written(texts.select("range", "rn", "guest", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")), "digests")
+    release(spark)
     sides = texts.select("range", "rn", F.explode(F.array(F.struct(F.lit(0).alias("side"), terms(F.col("text")).alias("t")), F.struct(F.lit(1).alias("side"), terms(F.col("edited")).alias("t")))).alias("s"))
     words = sides.select("range", "rn", F.col("s.side").alias("side"), F.explode("s.t").alias("word")).filter("word != ''").select("range", "rn", "side", F.xxhash64("word").alias("term"))
     counts = words.groupBy("range", "rn", "term").agg(F.sum(1 - F.col("side")).alias("w0"), F.sum("side").alias("w1"))
@@ -107,8 +130,9 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "
     sets = (F.array(*(F.col(f"m{s}_{j}") for j in range(_TOGETHER))).alias(f"m{s}") for s in (0, 1))
     ranked = minima.select("range", "rn", "k", *sets).groupBy("range", "rn").agg(F.sort_array(F.collect_list(F.struct("k", "m0", "m1"))).alias("m"))
     ranked = ranked.select("range", "rn", *(F.slice(F.flatten(f"m.m{s}"), 1, samples).alias(f"m{s}") for s in (0, 1)))
-    prints = ranked.select("range", "rn", _shown(F.col("m0")).alias("fingerprint"), _shown(F.col("m1")).alias("edited_fingerprint"))
-    rows = texts.select("range", "rn", "guest", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).join(prints, ["range", "rn"], "left")
+    prints = Written(ranked.select("range", "rn", _shown(F.col("m0")).alias("fingerprint"), _shown(F.col("m1")).alias("edited_fingerprint")), "prints")
+    release(spark)
+    rows = digests.df.join(prints.df, ["range", "rn"], "left")
     rows = rows.fillna("", ["fingerprint", "edited_fingerprint"])
     rows = rows.withColumn("next_print", F.lead("fingerprint").over(Window.partitionBy("range").orderBy("rn"))).filter("guest = 0")
     return rows.select(
