@@ -23,7 +23,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,22 +214,10 @@ def _verify(names: list[bytes], block: np.ndarray, copies: np.ndarray, apart: bo
     return out + [(n, None, int(k)) for n, k in zip(names, links) if k]
 
 
-def verify_blocks(threshold: float):
-    """One pair of blocks, as a group of its own."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("cls").reset_index(drop=True)
-        apart = int(group["p"].iloc[0]) != int(group["q"].iloc[0])
-        out = _verify(group["cls"].tolist(), group["block"].to_numpy(), group["copies"].to_numpy(), apart, [np.frombuffer(g, np.uint64) for g in group["grams"]], threshold)
-        return pd.DataFrame({"a": [x[0] for x in out], "b": [x[1] for x in out], "links": np.array([x[2] for x in out], np.int64)})
-
-    return run
-
-
 def verify_sorted(threshold: float):
-    """The same over rows (component, p, q, cls, block, copies, grams) that are
-    dealt and sorted by (component, p, q): no group needs a call of its own, and no
-    more than one pair of blocks is held beside a batch."""
+    """Links of rows (component, p, q, cls, block, copies, grams) that are dealt and
+    sorted by (component, p, q): a class that repeated rows send more than once is
+    held once, and no more than one pair of blocks is held beside a batch."""
 
     def found(key: tuple, rows: dict[bytes, tuple]) -> list[tuple[bytes, bytes | None, int]]:
         if len(rows) < 2:
@@ -286,7 +273,7 @@ def ngram_jaccard_join(
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = base.select("id", row_hash("id", "text").alias("row"), "text")
     numbered = keyed.select("id", "row", F.monotonically_increasing_id().alias("n"), "text")  # tells equal rows apart once it is written
-    signed = written(numbered.mapInArrow(_signatures(n, bands, rows), "id long, row long, n long, cls binary, size long, bands array<long>"), "signatures")
+    signed = written(numbered.mapInArrow(_flat.trimmed(_signatures(n, bands, rows)), "id long, row long, n long, cls binary, size long, bands array<long>"), "signatures")
 
     classes = (
         signed.filter("cls is not null").groupBy("cls")
@@ -301,14 +288,15 @@ def ngram_jaccard_join(
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     placed = members.join(groups.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     sets = (
-        keyed.join(placed.select("row", "cls", "component", "copies", "blocks", "block"), "row")
+        keyed.join(placed.select("row", "cls", "component", "copies", "blocks", "block").hint("shuffle_hash"), "row")
         .select("text", "cls", "component", "copies", "blocks", "block")
-        .mapInArrow(_sets(n), "cls binary, component binary, copies long, blocks int, block int, grams binary")
+        .mapInArrow(_flat.trimmed(_sets(n)), "cls binary, component binary, copies long, blocks int, block int, grams binary")
     )
     spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cls", "component", "copies", "block", "grams", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")
     )
-    found = written(spread.groupBy("component", "p", "q").applyInPandas(verify_blocks(threshold), "a binary, b binary, links long"), "links")
+    dealt = spread.select("component", "p", "q", "cls", "block", "copies", "grams").repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
+    found = written(dealt.mapInArrow(_flat.trimmed(verify_sorted(threshold)), "a binary, b binary, links long"), "links")
 
     linked = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     joined = connected_components(found.filter("b is not null").select("a", "b"))

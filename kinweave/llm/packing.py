@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.llm import _flat
 from kinweave.llm.bpe import encoded_batches, load
 from kinweave.plans.storage import written
 
@@ -273,7 +274,7 @@ def best_fit_packing(
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = "id long, piece long, start long, length long, crc long"
-    pieces = written(base.mapInArrow(_pieces(vocabulary, capacity, end_id), kind), "pieces")
+    pieces = written(base.mapInArrow(_flat.trimmed(_pieces(vocabulary, capacity, end_id)), kind), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = plan(counts, capacity, groups)
 

@@ -327,4 +327,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     base = docs.drop("score", "predicted").withColumn(text_col, F.col(text_col).cast("string"))
-    return base.mapInArrow(run, StructType([*base.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return base.mapInArrow(_flat.trimmed(run), StructType([*base.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
