@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Nicknames and street words that the comparison treats as one.
-NICKNAMES = {"BOB": "ROBERT", "LIZ": "ELIZABETH", "BILL": "WILLIAM", "KATE": "KATHERINE", "TOM": "THOMAS", "SUE": "SUSAN", "DAN": "DANIEL", "MIKE": "MICHAEL", "PAT": "PATRICIA", "DEB": "DEBORAH", "JOE": "JOSEPH", "JIM": "JAMES", "PEGGY": "MARGARET"}
-STREET_WORDS = {"STREET": "ST", "AVENUE": "AVE", "ROAD": "RD", "BOULEVARD": "BLVD", "DRIVE": "DR", "LANE": "LN", "PLACE": "PL", "COURT": "CT"}
+# Short forms of given names and the names they stand for.
+NICKNAMES = {
+    "BOB": "ROBERT", "BILL": "WILLIAM", "MIKE": "MICHAEL", "RICK": "RICHARD", "TOM": "THOMAS", "JOE": "JOSEPH", "DAN": "DANIEL", "MATT": "MATTHEW",
+    "TONY": "ANTHONY", "BEN": "BENJAMIN", "NICK": "NICHOLAS", "ALEX": "ALEXANDER", "GREG": "GREGORY", "TIM": "TIMOTHY", "TED": "THEODORE", "FRED": "FREDERICK",
+    "JON": "JONATHAN", "CHARLIE": "CHARLES", "CHRIS": "CHRISTOPHER", "KATE": "KATHERINE", "LIZ": "ELIZABETH", "PEGGY": "MARGARET", "JEN": "JENNIFER",
+    "PAT": "PATRICIA", "DEBBIE": "DEBORAH", "BARB": "BARBARA", "SUE": "SUSAN", "BECKY": "REBECCA", "KIM": "KIMBERLY", "STEPH": "STEPHANIE", "VICKY": "VICTORIA",
+    "JESS": "JESSICA", "CINDY": "CYNTHIA", "SAM": "SAMANTHA", "RONNIE": "VERONICA", "CILLA": "PRISCILLA",
+}
+# Postal street words, each with the other ways to write it.
+STREET_FORMS = {
+    "STREET": "ST STR", "AVENUE": "AVE AV", "ROAD": "RD", "BOULEVARD": "BLVD BOUL", "DRIVE": "DR DRV", "LANE": "LN", "PARKWAY": "PKWY PKY", "COURT": "CT CRT",
+    "PLACE": "PL", "TERRACE": "TER", "CIRCLE": "CIR", "HIGHWAY": "HWY", "NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W",
+}
+STREET_WORDS = {short: word for word, forms in STREET_FORMS.items() for short in forms.split()}
 
 
 def _folded(c: Column, table: dict[str, str]) -> Column:
@@ -40,31 +51,46 @@ def clean_state(c: Column) -> Column:
     return F.when(s.rlike("^[A-Z]{2}$"), s)
 
 
+def persons(c: Column) -> Column:
+    """The persons in a name field, joined by a lower-case 'and'; none in null."""
+    return F.coalesce(F.filter(F.transform(F.split(c, r"\s+and\s+"), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+
+
 def first_person(c: Column) -> Column:
-    """The first of the persons in a name field, joined by a lower-case 'and'."""
-    return F.trim(F.split(c, r"\s+and\s+")[0])
+    """The one whom the row is about."""
+    return F.try_element_at(persons(c), F.lit(1))
+
+
+_CREDENTIAL = r"(?i)[,\s]+(M\.?D|D\.?O|N\.?P|P\.?A|Ph\.?D)\.?\s*$"
+
+
+def credential(c: Column) -> Column:
+    """The credential that ends the first person's name, without points."""
+    found = F.regexp_extract(first_person(c), _CREDENTIAL, 1)
+    return F.when(found != "", F.upper(F.replace(found, F.lit("."), F.lit(""))))
 
 
 def bare_name(c: Column) -> Column:
     """Without a final credential and a leading honorific."""
-    c = F.regexp_replace(c, r"(?i)[,\s]+(M\.?D|D\.?O|N\.?P|P\.?A|Ph\.?D)\.?\s*$", "")
+    c = F.regexp_replace(c, _CREDENTIAL, "")
     return F.trim(F.regexp_replace(c, r"(?i)^(Dr|Doctor|Prof)\.?\s+", ""))
 
 
 def given_name(source: Column, raw: Column) -> Column:
-    """Upper-case given name: after the first comma in the payer's feed, the first
-    of at least two words elsewhere."""
+    """Upper-case given name: all that follows the first comma in the payer's feed,
+    the first of at least two words elsewhere."""
     n = bare_name(first_person(raw))
     words = F.split(n, r"\s+")
     after = F.trim(F.regexp_replace(n, r"^[^,]*,", ""))
-    payer = F.when(n.contains(","), F.upper(F.split(after, r"\s+")[0]))
+    payer = F.when(n.contains(",") & (after != ""), F.upper(after))
     return F.when(source == "payer_feed", payer).otherwise(F.when(F.size(words) >= 2, F.upper(words[0])))
 
 
 def family_name(source: Column, raw: Column) -> Column:
     n = bare_name(first_person(raw))
     words = F.split(n, r"\s+")
-    payer = F.when(n.contains(","), F.upper(F.trim(F.regexp_replace(n, r",.*$", ""))))
+    before = F.trim(F.regexp_replace(n, r",.*$", ""))
+    payer = F.when(n.contains(",") & (before != ""), F.upper(before))
     return F.when(source == "payer_feed", payer).otherwise(F.when(F.size(words) >= 2, F.upper(F.element_at(words, -1))))
 
 
@@ -72,7 +98,7 @@ def canonical_given(c: Column) -> Column:
     return _folded(c, NICKNAMES)
 
 
-_SUITE = r"\s+(?:SUITE|STE\.?|APT\.?|UNIT)\s*([A-Z0-9]+)\s*$"
+_SUITE = r"\s*(?:\b(?:SUITE|STE|APT|UNIT)|#)\s*\.?\s*([A-Z0-9-]+)\s*$"
 
 
 def street_tokens(c: Column) -> Column:
@@ -84,7 +110,7 @@ def street_tokens(c: Column) -> Column:
 def clean_suite(suite: Column, street: Column) -> Column:
     """The suite column in canonical form, else the suite folded into the street."""
     own = F.trim(F.regexp_replace(F.regexp_replace(F.upper(suite), "[^A-Z0-9 ]", " "), r"\s+", " "))
-    own = F.regexp_replace(own, r"^(STE|APT|UNIT)\b", "SUITE")
+    own = F.regexp_replace(own, r"\b(STE|APT|UNIT)\b", "SUITE")
     found = F.regexp_extract(F.upper(street), _SUITE, 1)
     return F.coalesce(F.when(own != "", own), F.when(found != "", F.concat(F.lit("SUITE "), found)))
 

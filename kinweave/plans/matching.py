@@ -17,7 +17,7 @@ def normalized(rows: DataFrame) -> DataFrame:
     """Typed keys of each source row; multi-person rows give their first person."""
     family = N.family_name(F.col("source_system"), F.col("name_raw"))
     return rows.select(
-        *KEY, "entity_id", "ingest_batch", "observed_at", "multi", N.clean_npi(F.col("npi")).alias("npi"), N.given_name(F.col("source_system"), F.col("name_raw")).alias("given"),
+        *KEY, "entity_id", "ingest_batch", "observed_at", "multi", "moved", "network_status", N.credential(F.col("name_raw")).alias("credential"), N.clean_npi(F.col("npi")).alias("npi"), N.given_name(F.col("source_system"), F.col("name_raw")).alias("given"),
         family.alias("family"), F.substring(family, 1, 4).alias("surname4"), N.soundex(family).alias("family_soundex"), F.coalesce(N.street_tokens(F.col("street")), F.array().cast("array<string>")).alias("tokens"),
         N.clean_suite(F.col("suite"), F.col("street")).alias("suite"), F.upper(F.trim("city")).alias("city"), N.clean_state(F.col("state")).alias("state"),
         N.clean_zip(F.col("zip")).alias("zip"), N.clean_phone(F.col("phone")).alias("phone"), "specialty",

@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from kinweave.functions.normalize import NICKNAMES, STREET_WORDS
-from kinweave.sources.roster import roster_sql
+from kinweave.sources.roster import roster_sql, truth_sql
+
+# Fixed values, written here once more so that a wrong entry in the library shows.
+_NICK = (
+    "BOB ROBERT,BILL WILLIAM,MIKE MICHAEL,RICK RICHARD,TOM THOMAS,JOE JOSEPH,DAN DANIEL,MATT MATTHEW,TONY ANTHONY,BEN BENJAMIN,NICK NICHOLAS,ALEX ALEXANDER,GREG GREGORY,TIM TIMOTHY,"
+    "TED THEODORE,FRED FREDERICK,JON JONATHAN,CHARLIE CHARLES,CHRIS CHRISTOPHER,KATE KATHERINE,LIZ ELIZABETH,PEGGY MARGARET,JEN JENNIFER,PAT PATRICIA,DEBBIE DEBORAH,BARB BARBARA,"
+    "SUE SUSAN,BECKY REBECCA,KIM KIMBERLY,STEPH STEPHANIE,VICKY VICTORIA,JESS JESSICA,CINDY CYNTHIA,SAM SAMANTHA,RONNIE VERONICA,CILLA PRISCILLA"
+)
+_ROAD = (
+    "ST STREET,STR STREET,AVE AVENUE,AV AVENUE,RD ROAD,BLVD BOULEVARD,BOUL BOULEVARD,DR DRIVE,DRV DRIVE,LN LANE,PKWY PARKWAY,PKY PARKWAY,CT COURT,CRT COURT,PL PLACE,TER TERRACE,"
+    "CIR CIRCLE,HWY HIGHWAY,N NORTH,S SOUTH,E EAST,W WEST"
+)
+NICKNAMES, STREET_WORDS = (dict(x.split() for x in table.split(",")) for table in (_NICK, _ROAD))
 
 _FIELDS = ["npi", "given", "family", "street", "phone", "zip", "state", "specialty"]
 
@@ -12,7 +23,7 @@ def _case(column: str, table: dict[str, str]) -> str:
     return f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items()) + f" else {column} end"
 
 
-_SUITE = r"\s+(?:SUITE|STE\.?|APT\.?|UNIT)\s*([A-Z0-9]+)\s*$"
+_SUITE = r"\s*(?:#|\bUNIT|\bAPT|\bSTE|\bSUITE)\s*[.]?\s*([-0-9A-Z]+)\s*$"
 _RUNS = "translate(regexp_replace(upper(family), '[^A-Z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
 for _d in "0123456":
     _RUNS = f"regexp_replace({_RUNS}, '{_d}+', '{_d}', 'g')"
@@ -27,13 +38,14 @@ NORM = f"""roster as ({roster_sql('duckdb')}),
 n1 as (select *, trim(regexp_replace(regexp_replace(trim(regexp_split_to_array(name_raw, '\\s+and\\s+')[1]), '(?i)[,\\s]+(M\\.?D|D\\.?O|N\\.?P|P\\.?A|Ph\\.?D)\\.?\\s*$', ''), '(?i)^(Dr|Doctor|Prof)\\.?\\s+', '')) as bare,
   regexp_replace(npi, '[^0-9]', '', 'g') as npi_d, regexp_replace(phone, '[^0-9]', '', 'g') as phone_d, regexp_replace(zip, '[^0-9]', '', 'g') as zip_d from roster),
 n2 as (select *, regexp_split_to_array(bare, '\\s+') as words, case when length(phone_d) = 11 and phone_d[1] = '1' then substr(phone_d, 2) else phone_d end as phone_e from n1),
-n3 as (select source_system, source_row_id, entity_id, ingest_batch, observed_at, multi, specialty,
+n3 as (select source_system, source_row_id, entity_id, ingest_batch, observed_at, multi, moved, network_status, specialty,
+  nullif(upper(replace(regexp_extract(trim(regexp_split_to_array(name_raw, '\\s+and\\s+')[1]), '(?i)[,\\s]+(M\\.?D|D\\.?O|N\\.?P|P\\.?A|Ph\\.?D)\\.?\\s*$', 1), '.', '')), '') as credential,
   case when length(npi_d) = 10 then npi_d end as npi, case when length(phone_e) = 10 then phone_e end as phone, case when length(zip_d) >= 5 then zip_d[1:5] end as zip,
   case when regexp_full_match(upper(trim(state)), '[A-Z][A-Z]') then upper(trim(state)) end as state, upper(trim(city)) as city,
-  case when source_system = 'payer_feed' then case when contains(bare, ',') then upper(regexp_split_to_array(trim(substr(bare, instr(bare, ',') + 1)), '\\s+')[1]) end when len(words) >= 2 then upper(words[1]) end as given,
-  case when source_system = 'payer_feed' then case when contains(bare, ',') then upper(trim(substr(bare, 1, instr(bare, ',') - 1))) end when len(words) >= 2 then upper(words[-1]) end as family,
+  case when source_system = 'payer_feed' then case when contains(bare, ',') then upper(nullif(trim(substr(bare, instr(bare, ',') + 1)), '')) end when len(words) >= 2 then upper(words[1]) end as given,
+  case when source_system = 'payer_feed' then case when contains(bare, ',') then upper(nullif(trim(substr(bare, 1, instr(bare, ',') - 1)), '')) end when len(words) >= 2 then upper(words[-1]) end as family,
   coalesce(list_transform(list_filter(string_split(regexp_replace(regexp_replace(upper(street), '{_SUITE}', ''), '[^A-Z0-9 ]', ' ', 'g'), ' '), lambda x: x <> ''), lambda x: {_case('x', STREET_WORDS)}), []) as tokens,
-  coalesce(nullif(regexp_replace(trim(regexp_replace(regexp_replace(upper(suite), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), '^(STE|APT|UNIT)\\b', 'SUITE'), ''), 'SUITE ' || nullif(regexp_extract(upper(street), '{_SUITE}', 1), '')) as suite from n2),
+  coalesce(nullif(regexp_replace(trim(regexp_replace(regexp_replace(upper(suite), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), '\\b(STE|APT|UNIT)\\b', 'SUITE', 'g'), ''), 'SUITE ' || nullif(regexp_extract(upper(street), '{_SUITE}', 1), '')) as suite from n2),
 nrow as (select *, family[1:4] as surname4, {_soundex('family')} as family_soundex from n3)"""
 
 _ORDER = "(a.source_system, a.source_row_id) < (b.source_system, b.source_row_id)"
@@ -80,11 +92,11 @@ opt as (select ratio, threshold, cost from (select ratio, threshold, ratio * fp
 
 
 def _run(n: int) -> str:
-    return f"""nodes{n} as (select concat(source_system, '/', lpad(source_row_id::varchar, 12, '0')) as node, source_system as sys, source_row_id as id, entity_id from nrow where ingest_batch <= {n}),
+    return f"""nodes{n} as (select concat(source_system, '/', lpad(source_row_id::varchar, 12, '0')) as node, source_system as sys, source_row_id as id, entity_id, moved from nrow where ingest_batch <= {n}),
 edge{n} as (select concat(a_sys, '/', lpad(a_id::varchar, 12, '0')) as x, concat(b_sys, '/', lpad(b_id::varchar, 12, '0')) as y from sc where score >= 8.0 and batch <= {n}),
 both{n} as (select x, y from edge{n} union all select y, x from edge{n}),
 walk{n}(node, seen) as (select node, node from nodes{n} union select w.node, e.y from walk{n} w join both{n} e on e.x = w.seen),
-comp{n} as (select n.sys, n.id, n.entity_id, c.component, dense_rank() over (order by c.component) as cluster_id from nodes{n} n join (select node, min(seen) as component from walk{n} group by node) c using (node))"""
+comp{n} as (select n.sys, n.id, n.entity_id, n.moved, c.component, dense_rank() over (order by c.component) as cluster_id from nodes{n} n join (select node, min(seen) as component from walk{n} group by node) c using (node))"""
 
 
 RUNS = f"{SCORES}, {_run(1)}, {_run(2)}".replace("with ", "with ")
@@ -92,7 +104,7 @@ _KEY4 = "a_sys, a_id, b_sys, b_id"
 BUILT = f"""{RUNS}, made as (
   select 'split' as kind, * from (select {_KEY4} from sc where batch = 1 and score >= 8.0 and not is_match order by {_KEY4} limit 200)
   union all select 'merge', * from (select {_KEY4} from sc where batch = 1 and score < 8.0 and is_match order by {_KEY4} limit 200)
-  union all select 'pin', * from (select sys, id, null::varchar, null::int from comp1 where sys = 'clearinghouse' and entity_id % 7 = 0 order by sys, id limit 100)),
+  union all select 'pin', * from (select sys, id, null::varchar, null::int from comp1 where sys = 'clearinghouse' and moved order by sys, id limit 100)),
 built as (select kind, {_KEY4}, cluster_id as created_id from made join comp1 on sys = a_sys and id = a_id)"""
 _EV = "ev as (select user_id, case when floor(value)::bigint % 7 <> 0 then floor(value)::bigint % 7 end as value, event_type as source, event_id as key, ts as seen from events), told as (select * from ev where value is not null)"
 _RANK = "case source when 'purchase' then 0 when 'signup' then 1 when 'click' then 2 end"
@@ -178,7 +190,7 @@ ORACLE: dict[str, str] = {
     "two_site": _with(NORM, "select distinct entity_id from nrow group by source_system, entity_id having count(*) > 1"),
     "orders_per_customer": "select count(*) as customers, sum(n * (n - 1) // 2)::bigint as pairs from (select o_custkey, count(*) as n from orders group by 1 having count(*) > 1)",
     "ovr_build": _with(BUILT, "select * from built"),
-    "ovr_replay": _with(BUILT, "select kind, count(*) filter (c.cluster_id = created_id) as retained, count(*) filter (c.cluster_id is distinct from created_id and created_id in (select cluster_id from comp2)) as misapplied, count(*) filter (c.cluster_id is distinct from created_id and created_id not in (select cluster_id from comp2)) as lost, count(c.cluster_id) as kept_by_key from built left join comp2 c on c.sys = a_sys and c.id = a_id group by kind"),
-    "ovr_stability": _with(f"{RUNS}, o as ({_MEMBERS.format(c='comp1')}), n as ({_MEMBERS.format(c='comp2')})", "select count(*) as clusters, count(*) filter (o.members is distinct from n.members) as changed, count(*) filter (o.cluster_id is distinct from n.cluster_id) as renumbered from o left join n using (name)"),
+    "ovr_replay": _with(BUILT, "select kind, count(*) filter (c.cluster_id = created_id) as retained, count(*) filter (c.cluster_id is distinct from created_id and created_id in (select cluster_id from comp2)) as misapplied, count(*) filter (c.cluster_id is distinct from created_id and created_id not in (select cluster_id from comp2)) as lost, count(*) filter (c.cluster_id is distinct from created_id and created_id in (select cluster_id from comp2) and not exists (select 1 from comp2 z where z.cluster_id = created_id and z.entity_id = c.entity_id)) as unrelated, count(c.cluster_id) as kept_by_key from built left join comp2 c on c.sys = a_sys and c.id = a_id group by kind"),
+    "ovr_stability": _with(f"{RUNS}, o as ({_MEMBERS.format(c='comp1')}), n as ({_MEMBERS.format(c='comp2')})", "select count(*) as clusters, count(*) filter (o.members <> n.members) as different, count(*) filter (n.members is null) as absent, count(*) filter (o.cluster_id is distinct from n.cluster_id) as renumbered from o left join n using (name)"),
     "ovr_stale": _with(BUILT, "select a_sys, a_id from built b join nrow r on r.source_system = a_sys and r.source_row_id = a_id where kind = 'pin' and exists (select 1 from nrow x where x.source_system = 'clearinghouse' and x.ingest_batch > 1 and x.entity_id = r.entity_id)"),
 }
