@@ -10,13 +10,28 @@ from pyspark.sql import functions as F
 from kinweave.functions import normalize as N
 from kinweave.functions.similarity import jaccard, jaro_column, jaro_winkler_column
 from kinweave.operators.blocking import STRATEGIES, block, block_union
-from kinweave.operators.survivorship import lineage_violations, survive
+from kinweave.operators.survivorship import RULES, lineage_violations, survive
 from kinweave.plans import evaluate, matching, overrides
 from kinweave.plans.storage import written
-from kinweave.sources.roster import roster
+from kinweave.sources import files
+from kinweave.sources.roster import roster, truth
 
 PRIORITY = ["purchase", "signup", "click"]
-SOURCES = ["clearinghouse", "payer_feed", "license_board"]
+#: Sources in order of trust, for each golden field.
+SOURCES = {
+    "npi": ["clearinghouse", "payer_feed", "license_board", "site_scrape"],
+    "given": ["license_board", "payer_feed", "clearinghouse", "site_scrape"],
+    "family": ["license_board", "site_scrape", "payer_feed", "clearinghouse"],
+    "credential": ["license_board", "payer_feed", "clearinghouse"],
+    "street": ["payer_feed", "site_scrape", "clearinghouse"],
+    "suite": ["payer_feed", "site_scrape", "clearinghouse"],
+    "city": ["payer_feed", "site_scrape", "clearinghouse"],
+    "state": ["license_board", "site_scrape", "clearinghouse", "payer_feed"],
+    "zip": ["payer_feed", "site_scrape", "clearinghouse"],
+    "phone": ["payer_feed", "site_scrape", "clearinghouse"],
+    "specialty": ["license_board", "payer_feed", "clearinghouse", "site_scrape"],
+    "network_status": ["payer_feed"],
+}
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,6 +198,38 @@ def review_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.review_band(*scored(spark, sf_dir))
 
 
+@query
+def cost_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.cost_penalty(written(evaluate.sweep(*scored(spark, sf_dir)), "curve"))
+
+
+@query
+def recall_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.recall_ceiling(*scored(spark, sf_dir))
+
+
+@query
+def sweep_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.curve_faults(evaluate.sweep(*scored(spark, sf_dir)))
+
+
+@query
+def damage_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.damage_sweep(*scored(spark, sf_dir))
+
+
+@query
+def norm_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = roster(spark, sf_dir).select("source_system", "source_row_id", N.persons(F.col("name_raw")).alias("p"))
+    return p.select("source_system", "source_row_id", F.size("p").alias("persons"), F.array_join("p", "|").alias("names"))
+
+
+@query
+def load_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roster as CSV, loaded again by schema, guarded, and held against its manifest."""
+    return files.load_and_verify(roster(spark, sf_dir))
+
+
 @query
 def cc_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overrides.clusters(*scored(spark, sf_dir), 2).select("sys", "id", "component")
@@ -196,7 +243,7 @@ def cc_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def multi_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     false = scored(spark, sf_dir)[0].filter((F.col("score") >= overrides.ACCEPT) & ~F.col("is_match"))
-    return false.agg(F.count("*").alias("false_accepts"), F.count_if("multi").alias("with_multi"))
+    return false.agg(F.count("*").alias("false_accepts"), F.count_if("multi").alias("with_multi"), F.round(F.coalesce(F.try_divide(F.count_if("multi"), F.count("*")), F.lit(0.0)), 6).alias("share"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,16 +265,25 @@ def golden_rows(s: DataFrame, r: DataFrame) -> DataFrame:
     c = written(overrides.clusters(s, r, 2), "clusters")
     sound = c.groupBy("component").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity")).filter("n = 1")
     kept = c.join(sound.select("component", "entity"), "component").select("component", "entity", F.col("sys").alias("source_system"), F.col("id").alias("source_row_id"))
-    fields = ["npi", "given", "family", "suite", "city", "zip", "phone"]
-    long = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields)))
-    joined = kept.join(r.drop("entity_id"), ["source_system", "source_row_id"])
+    long = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in SOURCES)))
+    street = F.when(F.size("tokens") > 0, F.array_join("tokens", " "))
+    joined = kept.join(r.drop("entity_id").withColumn("street", street), ["source_system", "source_row_id"])
     return joined.select("component", "entity", F.col("source_system").alias("source"), F.col("source_row_id").alias("key"), F.col("observed_at").alias("seen"), long.alias("x")).select("component", "entity", "x.*", "source", F.col("key").cast("long").alias("key"), "seen")
 
 
 @query
 def surv_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden values with the source row and the rule that each came from."""
     g = survive(golden_rows(*scored(spark, sf_dir)), ["component", "field"], SOURCES)
-    return g.select("component", "field", F.col("priority_value").alias("value"), F.col("priority_key").alias("key"))
+    return g.select("component", "field", F.col("priority_value").alias("value"), F.col("priority_source").alias("source"), F.col("priority_key").alias("key"), F.lit("source_priority").alias("rule"))
+
+
+@query
+def surv_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lineage sample for readers: 100 golden values beside the raw row they name."""
+    g = surv_golden(spark, sf_dir).orderBy("component", "field").limit(100)
+    raw = roster(spark, sf_dir).select(F.col("source_system").alias("source"), F.col("source_row_id").cast("long").alias("key"), "name_raw", F.col("street").alias("street_raw"), "observed_at")
+    return raw.join(F.broadcast(g), ["source", "key"])
 
 
 @query
@@ -240,16 +296,37 @@ def surv_lineage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks[0].crossJoin(checks[1])
 
 
-@query
-def surv_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of clusters whose golden value is the truth, by rule: the family name
-    and the city of the entity's own board and payer rows stand for the truth."""
+def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of sound clusters whose golden value is the truth, nulls included, by field
+    and rule: of all, and of entities with one site (`_single`)."""
     s, r = scored(spark, sf_dir)
     long = written(golden_rows(s, r), "long")
-    truth = r.filter("source_system = 'license_board'").select(F.col("entity_id").alias("entity"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("truth")) for f in ("family", "given", "city")))).alias("x")).select("entity", "x.*")
-    g = survive(long.filter("field in ('family', 'given', 'city')"), ["component", "field", "entity"], SOURCES)
-    met = g.join(truth, ["entity", "field"])
-    return met.groupBy("field").agg(*(F.round(F.avg(F.col(f"{n}_value").eqNullSafe(F.col("truth")).cast("int")), 6).alias(n) for n in ("first", "recent", "majority", "priority")), F.count("*").alias("clusters"))
+    g = survive(long, ["component", "field"], SOURCES)
+    true = truth(spark, sf_dir).select("entity", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("truth")) for f in SOURCES))).alias("x")).select("entity", "x.*")
+    sites = two_site(spark, sf_dir).select(F.col("entity_id").alias("entity"), F.lit(False).alias("one"))
+    met = long.select("component", "entity").distinct().join(true, "entity").join(g, ["component", "field"], "left").join(sites, "entity", "left").withColumn("one", F.coalesce("one", F.lit(True)))
+    hit = lambda n: F.col(f"{n}_value").eqNullSafe(F.col("truth")).cast("int")
+    return met.groupBy("field").agg(
+        *(F.round(F.avg(hit(n)), 6).alias(n) for n in RULES), *(F.round(F.avg(F.when(F.col("one"), hit(n))), 6).alias(f"{n}_single") for n in RULES),
+        F.count("*").alias("clusters"), F.count_if("one").alias("clusters_single"),
+    )
+
+
+@query
+def surv_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """accuracy(), and the mean over the fields."""
+    a = written(accuracy(spark, sf_dir), "accuracy")  # a row a field
+    shares = [c for c in a.columns if c not in ("field", "clusters", "clusters_single")]
+    mean = a.agg(*(F.round(F.avg(c), 6).alias(c) for c in shares), F.max("clusters").alias("clusters"), F.max("clusters_single").alias("clusters_single"))
+    return a.unionByName(mean.withColumn("field", F.lit("(mean)")))
+
+
+@query
+def surv_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each field the most accurate rule, the first by name of equals."""
+    a = accuracy(spark, sf_dir)
+    told = a.select("field", F.explode(F.array(*(F.struct(F.col(n).alias("accuracy"), F.lit(n).alias("rule")) for n in sorted(RULES)))).alias("x")).select("field", "x.*")
+    return told.groupBy("field").agg(F.max("accuracy").alias("accuracy"), F.max_by(F.struct("rule"), F.struct("accuracy", -F.ascii("rule"), -F.ascii(F.substring("rule", 2, 1)))).alias("r")).select("field", "accuracy", "r.rule")
 
 
 @query

@@ -115,21 +115,35 @@ def _winner(order: str, rows: str = "told") -> str:
 
 
 _PRIORITY = _winner(f"({_RANK}) is null, ({_RANK}), case when ({_RANK}) is not null then seen end desc, case when ({_RANK}) is not null then key end, seen desc, source desc, key desc")
-_LONG = " union all ".join(f"select c.component, e.entity, '{f}' as field, n.{f} as value, n.source_system as source, n.source_row_id::bigint as key, n.observed_at as seen from comp2 c join sound e using (component) join nrow n on n.source_system = c.sys and n.source_row_id = c.id" for f in ("npi", "given", "family", "suite", "city", "zip", "phone"))
-GOLDEN = f"{RUNS}, sound as (select component, min(entity_id) as entity from comp2 group by component having count(distinct entity_id) = 1), long as (select * from ({_LONG}) where value is not null)"
-_SRANK = "case source when 'clearinghouse' then 0 when 'payer_feed' then 1 when 'license_board' then 2 end"
+_ALL4, _MAIL = "clearinghouse payer_feed license_board site_scrape", "payer_feed site_scrape clearinghouse"
+_GOLD = {
+    "npi": _ALL4, "given": "license_board payer_feed clearinghouse site_scrape", "family": "license_board site_scrape payer_feed clearinghouse", "credential": "license_board payer_feed clearinghouse",
+    "street": _MAIL, "suite": _MAIL, "city": _MAIL, "state": "license_board site_scrape clearinghouse payer_feed", "zip": _MAIL, "phone": _MAIL,
+    "specialty": "license_board payer_feed clearinghouse site_scrape", "network_status": "payer_feed",
+}
+_LONG = " union all ".join(f"select c.component, e.entity, '{f}' as field, {'nullif(array_to_string(n.tokens, chr(32)), chr(0))' if f == 'street' else 'n.' + f} as value, n.source_system as source, n.source_row_id::bigint as key, n.observed_at as seen from comp2 c join sound e using (component) join nrow n on n.source_system = c.sys and n.source_row_id = c.id" for f in _GOLD)
+GOLDEN = f"{RUNS}, sound as (select component, min(entity_id) as entity from comp2 group by component having count(distinct entity_id) = 1), long as (select * from ({_LONG}) where value is not null and value <> '')"
+_SRANK = "case " + " ".join(f"when field = '{f}' and source = '{x}' then {i}" for f, xs in _GOLD.items() for i, x in enumerate(xs.split())) + " end"
 _SORDER = f"({_SRANK}) is null, ({_SRANK}), case when ({_SRANK}) is not null then seen end desc, case when ({_SRANK}) is not null then key end, seen desc, source desc, key desc"
 
 
 def _golden(order: str, name: str, rows: str = "long") -> str:
-    return f"{name} as (select component, entity, field, value, key from (select *, row_number() over (partition by component, field order by {order}) as k from {rows}) where k = 1)"
+    return f"{name} as (select component, entity, field, value, source, key from (select *, row_number() over (partition by component, field order by {order}) as k from {rows}) where k = 1)"
 
 
 _RULES = ", ".join([
     _golden("source, key", "g_first"), _golden("seen desc, source desc, key desc", "g_recent"), "votes as (select *, count(*) over (partition by component, field, value) as c from long)",
     _golden("c desc, seen desc, source desc, key desc", "g_majority", "votes"), _golden(_SORDER, "g_priority"),
 ])
-_TRUTH = "truth as (" + " union all ".join(f"select entity_id as entity, '{f}' as field, {f} as truth from nrow where source_system = 'license_board'" for f in ("family", "given", "city")) + ")"
+_TRUTH = f"tr as ({truth_sql('duckdb')}), truth as (" + " union all ".join(f"select entity, '{f}' as field, {f} as truth from tr" for f in _GOLD) + ")"
+_R4 = ("first", "recent", "majority", "priority")
+_ACCURACY = (
+    "two as (select distinct entity_id as entity from nrow group by source_system, entity_id having count(*) > 1), "
+    "met as (select c.component, field, truth, c.entity not in (select entity from two) as one, " + ", ".join(f"g_{r}.value as {r}" for r in _R4) + " from (select distinct component, entity from long) c join truth using (entity) "
+    + " ".join(f"left join (select component, field, value from g_{r}) g_{r} using (component, field)" for r in _R4) + "), acc as (select field, "
+    + ", ".join(f"round(avg(({r} is not distinct from truth)::int), 6) as {r}, round(avg(({r} is not distinct from truth)::int) filter (one), 6) as {r}_single" for r in _R4)
+    + ", count(*) as clusters, count(*) filter (one) as clusters_single from met group by field)"
+)
 
 
 def _with(prelude: str, body: str) -> str:
@@ -171,22 +185,37 @@ ORACLE: dict[str, str] = {
     "sweep_curve": _with(CURVE, "select threshold, tp, fp, fn, precision, recall, f1 from curve"),
     "cost_optima": _with(CURVE, "select ratio, threshold, cost from opt"),
     "review_band": _with(
-        CURVE + ", mid as (select threshold as c from opt where ratio = 10), band as (select width, c - width * (hi - lo) / 2 as lower, c + width * (hi - lo) / 2 as upper from (select unnest([0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4])::double as width), mid, ends)",
-        "select width, count(*) filter (score >= lower and score < upper) as queue, (10 * count(*) filter (score >= upper and not is_match) + (select total from tot) - count(*) filter (is_match and (score >= upper or (score >= lower and score < upper))))::bigint as cost from ev, band group by width",
+        CURVE + ", mid as (select threshold as c from opt where ratio = 10), band as (select width, c - width * (hi - lo) / 2 as lower, c + width * (hi - lo) / 2 as upper from (select unnest([0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4])::double as width), mid, ends), bd as (select width, count(*) filter (score >= lower and score < upper) as queue, (10 * count(*) filter (score >= upper and not is_match) + (select total from tot) - count(*) filter (is_match and (score >= upper or (score >= lower and score < upper))))::bigint as cost from ev, band group by width), bs as (select bd.*, (select cost from opt where ratio = 10) - bd.cost as removed from bd)",
+        "select width, queue, cost, removed, round(queue * 10000.0::double / (select count(distinct entity_id) from nrow where entity_id % 2 = 0), 1) as per_10000, round(case when queue = 0 then 0.0::double else removed::double / queue end, 4) as break_even, case when lag(queue) over (order by width) is not null then round(coalesce((removed - lag(removed) over (order by width))::double / nullif(queue - lag(queue) over (order by width), 0), 0.0::double), 4) end as marginal from bs",
     ),
     "cc_components": _with(RUNS, "select sys, id, component from comp2"),
     "cc_damage": _with(RUNS, "select a.*, b.fragmented from (select count(*) as clusters, count(*) filter (n > 1) as welded, max(n) as worst from (select count(distinct entity_id) as n from comp2 group by component)) a, (select count(*) filter (n > 1) as fragmented from (select count(distinct component) as n from comp2 group by entity_id)) b"),
-    "multi_report": _with(SCORES, "select count(*) as false_accepts, count(*) filter (multi) as with_multi from sc where score >= 8.0 and not is_match"),
+    "multi_report": _with(SCORES, "select count(*) as false_accepts, count(*) filter (multi) as with_multi, round(coalesce(count(*) filter (multi)::double / nullif(count(*), 0), 0), 6) as share from sc where score >= 8.0 and not is_match"),
     "surv_first": f"with {_EV} {_winner('source, key')}",
     "surv_recent": f"with {_EV} {_winner('seen desc, source desc, key desc')}",
     "surv_majority": f"with {_EV}, v as (select *, count(*) over (partition by user_id, value) as c from told) {_winner('c desc, seen desc, source desc, key desc', 'v')}",
     "surv_priority": f"with {_EV} {_PRIORITY}",
-    "surv_golden": _with(f"{GOLDEN}, {_RULES}", "select component, field, value, key from g_priority"),
+    "surv_golden": _with(f"{GOLDEN}, {_RULES}", "select component, field, value, source, key, 'source_priority' as rule from g_priority"),
+    "surv_sample": _with(f"{GOLDEN}, {_RULES}", "select component, field, value, g.source, key, 'source_priority' as rule, name_raw, street as street_raw, observed_at from (select * from g_priority order by component, field limit 100) g join roster r on r.source_system = g.source and r.source_row_id = g.key"),
     "surv_lineage_check": f"with {_EV} select 0::bigint as violations, count(*) as control from ({_PRIORITY})",
-    "surv_accuracy": _with(
-        f"{GOLDEN}, {_RULES}, {_TRUTH}",
-        "select field, " + ", ".join(f"round(avg((g_{r}.value = truth)::int), 6) as {r}" for r in ("first", "recent", "majority", "priority")) + ", count(*) as clusters from g_first join g_recent using (component, entity, field) join g_majority using (component, entity, field) join g_priority using (component, entity, field) join truth using (entity, field) group by field",
+    "surv_accuracy": _with(f"{GOLDEN}, {_RULES}, {_TRUTH}, {_ACCURACY}", "select * from acc union all by name select '(mean)' as field, " + ", ".join(f"round(avg({c}), 6) as {c}" for r in _R4 for c in (r, f"{r}_single")) + ", max(clusters) as clusters, max(clusters_single) as clusters_single from acc"),
+    "surv_best": _with(f"{GOLDEN}, {_RULES}, {_TRUTH}, {_ACCURACY}", "select field, accuracy, rule from (select *, row_number() over (partition by field order by accuracy desc, rule) as k from (unpivot (select field, first, recent, majority, priority from acc) on first, recent, majority, priority into name rule value accuracy)) where k = 1"),
+    "cost_penalty": _with(CURVE + ", b as (select threshold as f1_threshold, f1, fp, fn from curve order by f1 desc, threshold limit 1)", "select ratio, threshold, cost, f1_threshold, f1, ratio * fp + fn as f1_cost, ratio * fp + fn - cost as extra, round(threshold - f1_threshold, 3) as moved from opt, b"),
+    "recall_ceiling": _with(CURVE, "select count(*) as scored, count(*) filter (is_match) as found, any_value(total) as true_pairs, round(count(*) filter (is_match)::double / any_value(total), 6) as ceiling from ev, tot"),
+    "sweep_guards": _with(CURVE, "select (select count(*) from raw x join cnt y on y.i = x.i join cnt z on z.i = x.i - 1 where y.tp > z.tp) as rises, (select (count(distinct tp + fp) <= 1)::int from cnt) as degenerate"),
+    "damage_sweep": _with(
+        SCORES + """, ts as (select unnest([2.0, 5.0, 8.0, 11.0, 14.0])::double as threshold), es as (select threshold, concat(a_sys, a_id) as x, concat(b_sys, b_id) as y, is_match from sc, ts where entity % 2 = 0 and score >= threshold),
+        nd as (select threshold, concat(source_system, source_row_id) as node, entity_id from nrow, ts where ingest_batch > 0), bt as (select threshold, x, y from es union all select threshold, y, x from es),
+        wk(threshold, node, seen) as (select threshold, node, node from nd union select w.threshold, w.node, e.y from wk w join bt e on e.threshold = w.threshold and e.x = w.seen),
+        cp as (select threshold, node, min(seen) as c from wk group by 1, 2), mb as (select threshold, c, entity_id from nd join cp using (threshold, node) where entity_id % 2 = 0),
+        cl as (select threshold, c, count(distinct entity_id) as n, count(*) as size from mb group by 1, 2), pv as (select threshold, entity_id, count(distinct c) as k, max((n > 1)::int) as w from mb join cl using (threshold, c) group by 1, 2),
+        s1 as (select threshold, count(*) as clusters, count(*) filter (n > 1) as welded, coalesce(sum(size) filter (n > 1), 0)::bigint as rows_welded, max(n) as worst from cl group by 1),
+        s2 as (select threshold, count(*) as providers, sum(w)::bigint as providers_welded, count(*) filter (k > 1) as split from pv group by 1),
+        s3 as (select threshold, count(*) as accepted, count(*) filter (is_match) as accepted_true, count(*) filter (not is_match) as accepted_false from es group by 1)""",
+        "select threshold, clusters, welded, rows_welded, worst, providers, providers_welded, split, coalesce(accepted, 0) as accepted, coalesce(accepted_true, 0) as accepted_true, coalesce(accepted_false, 0) as accepted_false, round(coalesce(accepted_false::double / accepted, 0), 6) as false_share from s1 join s2 using (threshold) left join s3 using (threshold)",
     ),
+    "norm_persons": f"select source_system, source_row_id, len(p)::int as persons, array_to_string(p, '|') as names from (select source_system, source_row_id, list_filter(list_transform(regexp_split_to_array(name_raw, '\\s+and\\s+'), lambda x: trim(x)), lambda x: x <> '') as p from ({roster_sql('duckdb')}))",
+    "load_roundtrip": f"select source_system, ingest_batch, count(*) as n, count(npi) as with_npi, count(suite) as with_suite, count(street) as with_street from ({roster_sql('duckdb')}) group by 1, 2",
     "two_site": _with(NORM, "select distinct entity_id from nrow group by source_system, entity_id having count(*) > 1"),
     "orders_per_customer": "select count(*) as customers, sum(n * (n - 1) // 2)::bigint as pairs from (select o_custkey, count(*) as n from orders group by 1 having count(*) > 1)",
     "ovr_build": _with(BUILT, "select * from built"),
