@@ -47,7 +47,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(r: DataFrame) -> DataFrame:
-    return written(matching.compared(block_union(r), r), "vectors")
+    return written(matching.compared(written(block_union(r), "candidates"), r), "vectors")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

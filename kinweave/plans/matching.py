@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import normalize as N
 from kinweave.functions.similarity import jaccard, jaro_winkler_column
+from kinweave.plans.storage import written
 
 FIELDS = ["npi", "given", "family", "street", "phone", "zip", "state", "specialty"]
 LEVELS = ["agree", "partial", "disagree", "missing"]
@@ -33,12 +34,22 @@ def graded_level(a: Column, b: Column, likeness: Column, agree: float, partial:
     return F.when(a.isNull() | b.isNull(), "missing").when(likeness >= agree, "agree").when(likeness >= partial, "partial").otherwise("disagree")
 
 
-def _with_likeness(pairs: DataFrame, a: Column, b: Column, name: str) -> DataFrame:
-    """Jaro-Winkler on distinct unequal string pairs only, joined back."""
-    marked = pairs.withColumn("_x", a).withColumn("_y", b)
-    distinct = marked.filter("_x is not null and _y is not null and _x != _y").select("_x", "_y").distinct()
-    scored = distinct.withColumn("_jw", jaro_winkler_column("_x", "_y"))
-    return marked.join(scored, ["_x", "_y"], "left").withColumn(name, F.coalesce("_jw", F.lit(1.0))).drop("_x", "_y", "_jw")
+#: Distinct string pairs up to this number are sent to every task, else joined.
+BROADCAST_PAIRS = 200_000
+
+
+def _with_likenesses(pairs: DataFrame, wanted: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Jaro-Winkler of several string pairs a row: each distinct unequal pair is worked
+    out once, in a table that is broadcast if it is counted to be small."""
+    met = F.explode(F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in wanted.values()))).alias("p")
+    distinct = pairs.select(met).select("p.*").filter("x is not null and y is not null and x != y").distinct()
+    table = written(distinct.withColumn("jw", jaro_winkler_column("x", "y")), "likeness")
+    small = table.count() <= BROADCAST_PAIRS
+    for name, (a, b) in wanted.items():
+        own = table.select(F.col("x").alias(f"_x_{name}"), F.col("y").alias(f"_y_{name}"), F.col("jw").alias(name))
+        keyed = pairs.withColumn(f"_x_{name}", a).withColumn(f"_y_{name}", b)
+        pairs = keyed.join(F.broadcast(own) if small else own, [f"_x_{name}", f"_y_{name}"], "left").fillna(1.0, [name]).drop(f"_x_{name}", f"_y_{name}")
+    return pairs
 
 
 def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -46,9 +57,8 @@ def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     columns = ["npi", "given", "family", "tokens", "phone", "zip", "state", "specialty", "entity_id", "multi", "ingest_batch"]
     side = lambda s: rows.select(F.col("source_system").alias(f"{s}_sys"), F.col("source_row_id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in columns))
     both = pairs.join(side("a"), ["a_sys", "a_id"]).join(side("b"), ["b_sys", "b_id"])
-    both = _with_likeness(both, F.col("a_given"), F.col("b_given"), "jw_raw")
-    both = _with_likeness(both, N.canonical_given(F.col("a_given")), N.canonical_given(F.col("b_given")), "jw_folded")
-    both = _with_likeness(both, F.col("a_family"), F.col("b_family"), "jw_family")
+    names = {"jw_raw": (F.col("a_given"), F.col("b_given")), "jw_folded": (N.canonical_given(F.col("a_given")), N.canonical_given(F.col("b_given"))), "jw_family": (F.col("a_family"), F.col("b_family"))}
+    both = _with_likenesses(both, names)
     tokens = jaccard(F.col("a_tokens"), F.col("b_tokens"))
     pair = lambda f: (F.col(f"a_{f}"), F.col(f"b_{f}"))
     levels = {

@@ -20,12 +20,12 @@ KEY = ["source_system", "source_row_id"]
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV with a header; null and the empty text stay apart."""
-    rows.write.option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("quoteAll", False).csv(path)
+    rows.write.option("header", True).option("nullValue", "\\N").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = SOURCE_SCHEMA) -> DataFrame:
     """Columns by schema; a row that does not fit it stops the load."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
+    return spark.read.schema(schema).option("header", True).option("nullValue", "\\N").option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
 
 
 def manifest(rows: DataFrame) -> DataFrame:
