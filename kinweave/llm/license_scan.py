@@ -29,7 +29,7 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 
 #: Public licence wording as templates: label and markup.
 TEMPLATES = {
-    "apache-2.0-notice": "licensed under the apache license [[version 2 0]] [[the license]] [[you may not use this file except in compliance with the license]]",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 [[the license]] [[you may not use this file except in compliance with the license]]",
     "cc-by-nc-4.0-notice": "licensed under [[a]] [[the]] [[creative commons attribution noncommercial]] cc by nc 4 0 [[license]]",
     "gpl-3.0-notice": "licensed under the gnu general public license version 3 [[or later]] [[or any later version]]",
     "gpl-3.0-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation [[either]] version 3 [[of the license]] [[or {{3}} any later version]]",

@@ -47,7 +47,8 @@ def _route(pivots: dict[tuple[int, int], tuple[np.ndarray, np.ndarray | None]],
                     continue
                 between = np.sqrt(np.maximum(2 - 2 * np.clip(p @ p.T, -1, 1), 1e-30))
                 gap = (square - square[np.arange(len(g)), home][:, None]) / (2 * between[home])
-                visit = (gap <= reach + 1e-9) & (np.sqrt(square) <= radius[None, :] + reach + 1e-9)
+                # room for rounding: squares are off by some 1e-13, which counts more the closer pivots are
+                visit = (gap <= reach + 1e-6 + 1e-12 / between[home]) & (np.sqrt(square) <= radius[None, :] + reach + 1e-6)
                 visit[np.arange(len(g)), home] = True
                 row, cell = np.nonzero(visit)
                 yield pd.DataFrame({"point": g["point"].to_numpy()[row], "space": g["space"].to_numpy()[row], "dim": g["dim"].to_numpy()[row], "cell": cell, "home": home[row], "unit": g["unit"].to_numpy()[row], "copies": g["copies"].to_numpy()[row]})
@@ -103,6 +104,9 @@ def vector_range_join(vectors: DataFrame, threshold: float = 0.98, id_col: str =
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("space"), F.col(vector_col).cast(ArrayType(DoubleType())).alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     sound = F.col("space").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # by a power of two, which is exact, so that squares neither overflow nor vanish
+    scale = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("v", F.abs)))))
+    raw = raw.withColumn("v", F.when(sound & F.exists("v", lambda x: x != 0), F.transform("v", lambda x: x / scale)))
     typed = raw.withColumn("norm", F.when(sound, F.sqrt(norm))).withColumn("ok", F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
     named = typed.withColumn("point", F.when(F.col("ok"), F.xxhash64("space", "v")))
     points = written(

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from kinweave.llm import _flat, bpe, cws, line_dedup, ngram_jaccard, packing, substring_dedup
+from kinweave.llm import _flat, bpe, cws, license_scan, line_dedup, ngram_jaccard, packing, substring_dedup, vector_range
 from kinweave.llm.queries import vocabulary
 
 
@@ -101,3 +101,15 @@ def test_next_text_with_ties_and_null_ids(spark):
         n, k = order[(i + 1) % len(order)][1], len(t) // 2
         want[d, len(t), hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in cws.edited_fingerprints(df).collect()) == want
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e-200, 1e-200], 1), (3, [1.0, 1.0], 1), (4, [0.0, 0.0], 1), (5, [1.0, -1.0], 1), (6, [float("nan"), 1.0], 1), (7, None, 1), (8, [1.0, 1.0], None), (9, [5e-324, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_range.vector_range_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), **{i: (0, i) for i in (4, 5, 6, 7, 8, 9)}}
+
+
+def test_other_versions_are_other_licences(spark):
+    rows = [(1, "Licensed under the Apache License, Version 2.0 (the \"License\")"), (2, "Licensed under the Apache License, Version 1.1"), (3, None)]
+    got = {r.doc_id: (r.base_labels, r.labels) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("apache", "apache,apache-2.0-notice"), 2: ("apache", "apache"), 3: ("", "")}
