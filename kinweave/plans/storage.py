@@ -41,12 +41,13 @@ def release(spark: SparkSession) -> None:
 
 
 class Written:
-    """A written table that can be dropped when its successor stands."""
+    """A written table that can be dropped when its successor stands. plain: without
+    dictionaries, which tables of hashes do not profit from."""
 
-    def __init__(self, df: DataFrame, what: str = "table"):
+    def __init__(self, df: DataFrame, what: str = "table", plain: bool = False):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{what}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        (df.write.option("parquet.enable.dictionary", "false") if plain else df.write).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
