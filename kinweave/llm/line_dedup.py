@@ -93,7 +93,8 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def _key(hi: Column, lo: Column) -> Column:
-    """The 16 bytes of a class, as executors name it."""
+    """The 16 bytes of a class or row. Tables hold them as two numbers, which hash
+    aggregation can keep in place, as it cannot binary values."""
     return F.unhex(F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0")))
 
 
@@ -113,19 +114,25 @@ def _signatures(k: int, bands: int, rows: int):
                     continue
                 values, heads = shingles("".join(lines), np.array([len(x) for x in lines]), k)
                 keys = np.frombuffer(b"".join(map(line_key, lines)), np.int64).reshape(-1, 2)
-                own = pa.array(owner)
+                asked = batch.column(1).slice(i, len(texts)).to_pylist()
+                row = np.frombuffer(b"".join(asked), ">i8").astype(np.int64).reshape(-1, 2)[np.array(owner) - i]
+                signature = minhash(values, heads).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(own), batch.column(1).take(own), pa.array(place, pa.int32()), pa.array(np.diff(owner, prepend=-1) > 0), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                        batch.column(0).take(pa.array(owner)), pa.array(row[:, 0]), pa.array(row[:, 1]), pa.array(place, pa.int32()), pa.array(np.diff(owner, prepend=-1) > 0), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
                         pa.array(np.diff(np.append(heads, len(values))).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * bands), pa.array(minhash(values, heads).view(np.int64).ravel())),
+                        *(pa.array(np.ascontiguousarray(signature[:, b])) for b in range(bands)),
                     ],
-                    names=["id", "row", "place", "head", "hi", "lo", "size", "bands"],
+                    names=["id", "row_hi", "row_lo", "place", "head", "hi", "lo", "size", *_bands(bands)],
                 )
 
     return run
 
 
+def _bands(bands: int) -> list[str]:
+    return [f"band{b}" for b in range(bands)]
+
+
 def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines at the places that are asked for, each with its class."""
     for batch in batches:
@@ -309,37 +316,42 @@ def line_dedup(docs: DataFrame, k: int = 8, threshold: float = 0.8, recall: floa
     bands, rows = choose_bands(threshold, recall, max_hashes)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), carried(docs, carry))
     keyed = base.withColumn("row", _flat.row_key())
-    signed = Written(keyed.select("id", "row", "text").mapInArrow(_flat.trimmed(_signatures(k, bands, rows)), "id long, row binary, place int, head boolean, hi long, lo long, size int, bands array<long>"), "signatures")
-    found = Written(signed.df.groupBy("hi", "lo").agg(F.min(F.struct("id", "row", "place")).alias("at"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
-    places = Written(signed.df.select("id", "row", "place", "hi", "lo"), "lines")
-    repeats = Written(signed.df.filter("head").groupBy("row").count().filter("count > 1"), "repeats")
+    named_bands = _bands(bands)
+    schema = "id long, row_hi long, row_lo long, place int, head boolean, hi long, lo long, size int, " + ", ".join(f"{b} long" for b in named_bands)
+    signed = Written(keyed.select("id", "row", "text").mapInArrow(_flat.trimmed(_signatures(k, bands, rows)), schema), "signatures", plain=True)
+    # one line of each class stands for it: first() takes all its columns from one row
+    told = [F.first(c).alias(c) for c in ("row_hi", "row_lo", "place", "size", *named_bands)]
+    found = Written(signed.df.groupBy("hi", "lo").agg(F.count("*").alias("copies"), *told), "classes", plain=True)
+    places = Written(signed.df.select("id", "row_hi", "row_lo", "place", "hi", "lo"), "lines")
+    repeats = Written(signed.df.filter("head").groupBy("row_hi", "row_lo").count().filter("count > 1").select(_key(F.col("row_hi"), F.col("row_lo")).alias("row"), "count"), "repeats")
     signed.drop()
     release(spark)
     lines, classes = places.df, found.df
     repeated = not repeats.df.isEmpty()
 
-    # one exchange and one sort give the sizes of the buckets that classes share
-    banded = classes.select("lo", "size", F.posexplode("bands").alias("band", "hash")).select("lo", "size", F.xxhash64("band", "hash").alias("bucket"))
+    # one exchange and one sort give the sizes of the buckets that classes share; most
+    # buckets have one class and go before the other figures are found
+    hashes = F.array(*(F.xxhash64(F.lit(i), F.col(b)) for i, b in enumerate(named_bands)))
     whole = Window.partitionBy("bucket")
-    sized = banded.select(
-        "lo", "bucket", F.count("*").over(whole).alias("n"), F.sum("size").over(whole).alias("grams"), F.min("lo").over(whole).alias("least"), F.bit_xor(F.xxhash64("lo")).over(whole).alias("who")
-    ).filter("n > 1")
+    banded = classes.select(F.explode(hashes).alias("bucket"), "lo", "size").withColumn("n", F.count("*").over(whole)).filter("n > 1")
+    sized = banded.select("bucket", "lo", "n", F.sum("size").over(whole).alias("grams"), F.min("lo").over(whole).alias("least"), F.bit_xor(F.xxhash64("lo")).over(whole).alias("who"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     # buckets with the same members, as the bands of two near copies mostly are, count as one
     members = Written(sized.select("lo", "bucket", F.xxhash64("who", "n", "least").alias("who"), blocks.alias("blocks"), (F.col("least") == F.col("lo")).alias("pivot")), "members")
     release(spark)
 
     hot = members.df.groupBy("lo").agg(F.collect_list(F.struct("bucket", "who", "blocks", "pivot")).alias("hot"))
-    mine = F.transform("bands", lambda h, i: F.try_element_at(F.filter("hot", lambda x: x["bucket"] == F.xxhash64(i, h)), F.lit(1)).dropFields("bucket"))
-    wanted = classes.join(hot, "lo").select("at.row", "at.place", "hi", "lo", mine.alias("hot"))
+    mine = F.transform(hashes, lambda h: F.try_element_at(F.filter("hot", lambda x: x["bucket"] == h), F.lit(1)).dropFields("bucket"))
+    wanted = classes.join(hot.hint("shuffle_hash"), "lo").select(_key(F.col("row_hi"), F.col("row_lo")).alias("row"), "place", "hi", "lo", mine.alias("hot"))
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "hi", "lo", "hot")).alias("asked"))
     once = keyed
     if repeated:
         once = keyed.join(repeats.df, "row", "left_anti").select("row", "text").unionByName(keyed.join(repeats.df, "row", "left_semi").select("row", "text").dropDuplicates(["row"]))
     candidates = Written(once.join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(_flat.trimmed(_asked_lines), "hi long, lo long, hot array<struct<who:long,blocks:int,pivot:boolean>>, line string"), "candidates")
     release(spark)
-    buckets = F.transform("hot", lambda x: F.coalesce(x["who"], F.lit(0).cast("long"))).alias("buckets")
-    each = candidates.df.select("hi", "lo", "line", buckets, F.explode(F.array_distinct(F.filter("hot", lambda x: x.isNotNull()))).alias("x")).select("hi", "lo", "line", "buckets", F.col("x.who").alias("bucket"), "x.blocks", "x.pivot", F.pmod(F.xxhash64("hi", "lo"), F.col("x.blocks")).cast("int").alias("block"))
+    buckets = F.col("buckets")
+    met = candidates.df.withColumn("buckets", F.transform("hot", lambda x: F.coalesce(x["who"], F.lit(0).cast("long"))))
+    each = met.select("hi", "lo", "line", "buckets", F.explode(F.filter("hot", lambda x, i: x.isNotNull() & (F.array_position(buckets, x["who"]) == i + 1))).alias("x")).select("hi", "lo", "line", "buckets", F.col("x.who").alias("bucket"), "x.blocks", "x.pivot", F.pmod(F.xxhash64("hi", "lo"), F.col("x.blocks")).cast("int").alias("block"))
     everywhere = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = each.withColumn("p", F.explode(everywhere)).withColumn("q", F.col("p")).withColumn("label", F.lit(None).cast("string"))
     links = Written(_links(first, k, threshold), "links")
@@ -356,14 +368,12 @@ def line_dedup(docs: DataFrame, k: int = 8, threshold: float = 0.8, recall: floa
     for table in (candidates, members, links):
         table.drop()
 
-    named = classes.select("hi", "lo", "at", "copies").withColumn("node", _key(F.col("hi"), F.col("lo"))).join(joined.df, "node", "left").filter("component is not null or copies > 1")
-    named = named.withColumn("root", F.coalesce("component", "node"))
-    firsts = named.groupBy("root").agg(F.min("at").alias("first"))
-    twice = named.join(firsts, "root").select("hi", "lo", "first")
-    drops = Written(
-        lines.join(twice, ["hi", "lo"]).filter(~F.struct("id", "row", "place").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("place").alias("drops")), "drops"
-    )
-    for table in (places, found, joined):
+    named = classes.select("hi", "lo", "copies").withColumn("node", _key(F.col("hi"), F.col("lo"))).join(joined.df.hint("shuffle_hash"), "node", "left").filter("component is not null or copies > 1")
+    roots = named.select("hi", "lo", F.coalesce("component", "node").alias("root"))
+    linked = Written(lines.join(roots.hint("shuffle_hash"), ["hi", "lo"]).select("id", _key(F.col("row_hi"), F.col("row_lo")).alias("row"), "place", "root"), "linked")
+    firsts = linked.df.groupBy("root").agg(F.min(F.struct("id", "row", "place")).alias("first")).select("first.row", "first.place")
+    drops = Written(linked.df.join(firsts, ["row", "place"], "left_anti").groupBy("row").agg(F.collect_set("place").alias("drops")), "drops")
+    for table in (places, found, joined, linked):
         table.drop()
     release(spark)
     source = keyed.withColumn("again", F.lit(False))
