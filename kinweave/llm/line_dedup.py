@@ -99,32 +99,34 @@ def _key(hi: Column, lo: Column) -> Column:
 
 
 def _signatures(k: int, bands: int, rows: int):
+    names = ["id", "row_hi", "row_lo", "place", "head", "hi", "lo", "size", *_bands(bands)]
+
+    def batch_of(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
+        owner, place, keys, sizes, signature = (np.concatenate(x) for x in zip(*parts))
+        row = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)[owner]
+        columns = [row[:, 0], row[:, 1], place, np.diff(owner, prepend=-1) > 0, keys[:, 0], keys[:, 1], sizes, *np.ascontiguousarray(signature.T)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *map(pa.array, columns)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(bands, rows)
         for batch in batches:
+            parts: list[tuple] = []
             for i, texts in _texts(batch.column(2)):
                 owner, place, lines = [], [], []
-                for d, text in enumerate(texts):
+                for d, text in enumerate(texts, i):
                     own = [x.strip(_EDGES) for x in text.split("\n")]
                     at = [p for p, x in enumerate(own) if x]
-                    owner += [i + d] * len(at)
+                    owner += [d] * len(at)
                     place += at
-                    lines += filter(None, own)
+                    lines += own if len(at) == len(own) else filter(None, own)
                 if not lines:
                     continue
                 values, heads = shingles("".join(lines), np.array([len(x) for x in lines]), k)
                 keys = np.frombuffer(b"".join(map(line_key, lines)), np.int64).reshape(-1, 2)
-                asked = batch.column(1).slice(i, len(texts)).to_pylist()
-                row = np.frombuffer(b"".join(asked), ">i8").astype(np.int64).reshape(-1, 2)[np.array(owner) - i]
-                signature = minhash(values, heads).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(owner)), pa.array(row[:, 0]), pa.array(row[:, 1]), pa.array(place, pa.int32()), pa.array(np.diff(owner, prepend=-1) > 0), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                        pa.array(np.diff(np.append(heads, len(values))).astype(np.int32)),
-                        *(pa.array(np.ascontiguousarray(signature[:, b])) for b in range(bands)),
-                    ],
-                    names=["id", "row_hi", "row_lo", "place", "head", "hi", "lo", "size", *_bands(bands)],
-                )
+                sizes = np.diff(np.append(heads, len(values))).astype(np.int32)
+                parts.append((np.array(owner), np.array(place, np.int32), keys, sizes, minhash(values, heads).view(np.int64)))
+            if parts:  # chunks are small, batches are not: each costs its columns
+                yield batch_of(batch, parts)
 
     return run
 
@@ -255,7 +257,9 @@ def _verify(k: int, threshold: float):
             _, at = _flat.utf8(rows.column(8))
             for i, j in _flat.chunks(np.append(at[heads], at[-1]) + np.append(heads, len(rows)) * 32, 1 << 17):
                 end = heads[j] if j < len(heads) else len(rows)
-                yield _verified(rows.slice(heads[i], end - heads[i]), heads[i:j] - heads[i], k, threshold)
+                found = _verified(rows.slice(heads[i], end - heads[i]), heads[i:j] - heads[i], k, threshold)
+                if len(found):
+                    yield found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.RecordBatch | None = None
