@@ -183,7 +183,7 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, ro
     return w
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = 256, rounds: int = 2, per_text: int = 6, folds: int = 2, prevalence: float | None = None, seed: int = 5) -> ToxicityModel:
+def train(texts: list[str], labels: list[int], landmarks: int = 256, rounds: int = 4, per_text: int = 12, folds: int = 2, prevalence: float | None = None, seed: int = 5) -> ToxicityModel:
     """The machine from labelled texts, calibrated on margins that texts get from
     machines not trained on them (of `folds`). With one class only, all texts
     score the smoothed share of label 1. prevalence: the share of label 1 where the
