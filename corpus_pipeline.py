@@ -69,8 +69,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 
 #: SQL has no way to train a classifier; tests compare line_dedup, ngram_jaccard and
-#: substring_dedup with brute force and packing by its token totals, on a small table;
-#: no test runs the toxicity stage or `run`.
+#: substring_dedup with brute force and packing by its token totals, on a small table,
+#: the classifier's margins with a plain kernel, and `run` with its stages one by one.
 ORACLE_SQL = None
 
 
