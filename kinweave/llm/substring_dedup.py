@@ -178,8 +178,9 @@ def _remove(span: int, layout: bool):
 
 
 #: Blocks whose k-mer has more than a share of 1 / HOT of all blocks (so fewer than HOT
-#: k-mers) are dealt over SALTS partitions.
-HOT, SALTS = 1000, 64
+#: k-mers) are dealt over SALTS partitions, and so are equal blocks of such a share. Fewer
+#: than LEAST are never dealt.
+HOT, SALTS, LEAST = 1000, 64, 1000
 
 
 def repeated_spans(keyed: DataFrame, span: int = 35, k: int = 8, seed: int = 0) -> DataFrame:
@@ -192,11 +193,13 @@ def repeated_spans(keyed: DataFrame, span: int = 35, k: int = 8, seed: int = 0)
     texts = keyed.select("row", "text")
     counted = Written(texts.mapInArrow(_flat.trimmed(_blocks(span, k, True, seed)), "kmer long").groupBy("kmer").count().filter("count > 1"), "kmers")
     total = counted.df.agg(F.sum("count")).first()[0] or 0
-    hot = counted.df.filter(F.col("count") > max(total // HOT, 1000)).select("kmer", F.lit(True).alias("hot"))  # fewer than HOT rows
-    salts = F.when(F.col("count") > max(total // HOT, 1000), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    kmers = counted.df.select("kmer", F.explode(salts).alias("salt"))
+    many = max(total // HOT, LEAST)
+    hot = counted.df.filter(F.col("count") > many).select("kmer", F.lit(True).alias("hot"))  # fewer than HOT rows
+    salts = lambda n: F.explode(F.when(n > many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int")).otherwise(0)
+    kmers = counted.df.select("kmer", salts(F.col("count")))
     blocks = texts.mapInArrow(_flat.trimmed(_blocks(span, k, False, seed)), "kmer long, hi long, lo long, row binary, start int, n int").join(F.broadcast(hot), "kmer", "left")
-    dealt = blocks.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    dealt = blocks.withColumn("salt", salt).drop("hot")
     blocks_held = Written(dealt.join(kmers, ["kmer", "salt"]).drop("salt"), "blocks")
     release(keyed.sparkSession)
     held = blocks_held.df
@@ -205,8 +208,10 @@ def repeated_spans(keyed: DataFrame, span: int = 35, k: int = 8, seed: int = 0)
     mixed = classes.groupBy("kmer").agg(F.count("*").alias("classes"), F.min("copies").alias("least")).filter("classes > 1 and least = 1").select("kmer")
     opened = classes.join(mixed, "kmer").select(F.lit(0).alias("kind"), "hi", "lo", "copies", "at.row", "at.start", "n")
 
-    whole = classes.filter("copies > 1").select("hi", "lo", "copies")
-    repeated_held = Written(held.join(whole, ["hi", "lo"]).select("hi", "lo", "copies", "row", "start", "n").distinct(), "repeated")
+    whole = classes.filter("copies > 1").select("hi", "lo", "copies", salts(F.col("copies")))
+    common = classes.filter(F.col("copies") > many).select("hi", "lo", F.lit(True).alias("hot"))  # fewer than HOT rows, too
+    dealt = held.select("hi", "lo", "row", "start", "n").join(F.broadcast(common), ["hi", "lo"], "left").withColumn("salt", salt).drop("hot")
+    repeated_held = Written(dealt.join(whole, ["hi", "lo", "salt"]).distinct().drop("salt"), "repeated")  # a row's salt is the same in all its repeats
     release(keyed.sparkSession)
     repeated = repeated_held.df
     name = F.col("hi")  # a path's label only: the words were compared by both hashes

@@ -78,7 +78,9 @@ def test_one_row_of_each_component_stays(spark):
     assert Counter(r.text for r in cut if r.text) == Counter(r.text for r in got if r.text)
 
 
-def test_substring_dedup(table):
+@pytest.mark.parametrize("least", [1000, 2])  # 2: most repeated blocks are dealt over partitions
+def test_substring_dedup(table, monkeypatch, least):
+    monkeypatch.setattr(substring_dedup, "LEAST", least)
     rows = corpus()
     words = [re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in rows]
     seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
