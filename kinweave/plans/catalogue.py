@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import normalize as N
 from kinweave.functions.similarity import jaccard, jaro_column, jaro_winkler_column
-from kinweave.operators.blocking import STRATEGIES, block, block_union
+from kinweave.operators.blocking import STRATEGIES, block, block_counts, block_union
 from kinweave.operators.survivorship import RULES, lineage_violations, survive
 from kinweave.plans import evaluate, matching, overrides
 from kinweave.plans.storage import written
@@ -106,15 +106,9 @@ def block_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def block_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completeness, reduction and precision per strategy, counted in one pass each."""
-    r = written(rows(spark, sf_dir), "rows")
-    entity = r.select("source_system", "source_row_id", "entity_id")
-    found = {**{n: block(r, k) for n, k in STRATEGIES.items()}, "union": block_union(r)}
-    a, b = (entity.select(F.col("source_system").alias(f"{s}_sys"), F.col("source_row_id").alias(f"{s}_id"), F.col("entity_id").alias(f"{s}_entity")) for s in "ab")
-    counted = None
-    for name, pairs in found.items():
-        one = pairs.join(a, ["a_sys", "a_id"]).join(b, ["b_sys", "b_id"]).agg(F.count("*").alias("candidates"), F.count_if(F.col("a_entity") == F.col("b_entity")).alias("true_found")).withColumn("strategy", F.lit(name))
-        counted = one if counted is None else counted.unionByName(one)
+    """Completeness, reduction and precision per strategy, from the sizes of blocks."""
+    r = rows(spark, sf_dir)
+    counted = block_counts(r)
     totals = evaluate.true_pairs(r).crossJoin(r.agg(F.count("*").alias("n")))
     c = counted.crossJoin(F.broadcast(totals))  # five rows by one
     possible = F.col("n") * (F.col("n") - 1) / 2

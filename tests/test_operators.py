@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from kinweave.functions import normalize as N
+from kinweave.operators.blocking import STRATEGIES, block_counts
 from kinweave.operators.components import connected_components
 from kinweave.operators.survivorship import lineage_violations, survive
 
@@ -12,6 +15,42 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+ROSTER = "source_system string, source_row_id int, entity_id long, npi string, zip string, surname4 string, family_soundex string, state string, phone string"
+
+
+def test_blocks_are_counted_as_their_pairs_are(spark):
+    rng = random.Random(3)
+    pick = lambda n: rng.choice([None, *map(str, range(n))])
+    rows = [(rng.choice("ab"), rng.choice([None, *range(40)]), rng.choice([None, *range(30)]), pick(60), pick(4), pick(5), pick(3), pick(3), pick(50)) for _ in range(150)]
+    rows += rows[:20] + rows[:5]  # equal rows, beside ids with several forms
+    names = [c.split(" ")[0] for c in ROSTER.split(", ")]
+    records = [dict(zip(names, r)) for r in rows]
+    mine: dict[tuple, list] = {}
+    for r in records:
+        mine.setdefault((r["source_system"], r["source_row_id"]), []).append(r["entity_id"])
+    want = {n: [0, 0] for n in [*STRATEGIES, "union"]}
+    for r in records:
+        for s in records:
+            a, b = ((x["source_system"], x["source_row_id"]) for x in (r, s))
+            if a[1] is None or b[1] is None or a >= b:
+                continue
+            by = [n for n, on in STRATEGIES.items() if all(r[k] is not None and r[k] == s[k] for k in on)]
+            for n in by + ["union"] * bool(by):
+                want[n][0] += len(mine[a]) * len(mine[b])
+                want[n][1] += sum(x is not None and x == y for x in mine[a] for y in mine[b])
+    got = {r.strategy: [r.candidates, r.true_found] for r in block_counts(spark.createDataFrame(rows, ROSTER)).collect()}
+    assert got == want and all(min(x) > 0 for x in want.values())
+    none = block_counts(spark.createDataFrame([], ROSTER)).collect()
+    assert {(r.strategy, r.candidates, r.true_found) for r in none} == {(n, 0, 0) for n in want}
+
+
+def test_a_large_block_is_counted_without_its_pairs(spark):
+    n = 300_000
+    rows = spark.range(n).selectExpr("'a' as source_system", "cast(id as int) as source_row_id", "id div 2 as entity_id", "cast(id as string) as npi", "'z' as zip", "cast(id as string) as surname4", "'S' as family_soundex", "'NY' as state", "cast(id div 3 as string) as phone")
+    got = {r.strategy: (r.candidates, r.true_found) for r in block_counts(rows).collect()}
+    assert got == {"npi_exact": (0, 0), "zip_surname4": (0, 0), "soundex_state": (n * (n - 1) // 2, n // 2), "phone_exact": (n, n // 3), "union": (n * (n - 1) // 2, n // 2)}
+
+
 def test_normalisers(spark):
     rows = [("payer_feed", "LEE, Ann, M.D."), ("site_scrape", "Dr. Bob Ray and Pat Smith"), ("x", "Cher"), ("payer_feed", "LEE, DO")]
     df = spark.createDataFrame(rows, "s string, n string")
