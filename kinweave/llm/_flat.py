@@ -95,15 +95,20 @@ KEPT_POWERS = (1 << 20) + 1
 POWERS = (Powers(_BASE), Powers(0xC2B2AE3D27D4EB4F))
 
 
+def give_back() -> None:
+    """Gives memory that is free to the system, which allocators do not by themselves."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A batch function that gives free memory back to the system when its task
     ends: workers live on from task to task, beside those of other stages."""
 
     def whole(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return whole
 

@@ -196,13 +196,19 @@ def train(texts: list[str], labels: list[int], landmarks: int = 256, rounds: int
     for value in (0, 1):
         mine = np.flatnonzero(y == value)
         fold[mine] = np.arange(len(mine)) % folds
+
+    def learned(own: list[str], values: np.ndarray) -> np.ndarray:
+        weights = _weights(own, values, landmarks, rounds, per_text, seed)
+        _flat.give_back()  # the driver lives on, and would keep what training took
+        return weights
+
     m = np.full((len(y), TOP), _EMPTY)
     for k in range(folds):
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(own) and y[rest].min() < y[rest].max():
-            machine = ToxicityModel(_weights([texts[i] for i in rest], y[rest], landmarks, rounds, per_text, seed), np.zeros(TOP), 0.0)
+            machine = ToxicityModel(learned([texts[i] for i in rest], y[rest]), np.zeros(TOP), 0.0)
             m[own] = np.concatenate([machine.margins([texts[j] for j in own[i : i + TRAIN_TEXTS]]) for i in range(0, len(own), TRAIN_TEXTS)])
-    return ToxicityModel(_weights(texts, y, landmarks, rounds, per_text, seed), *_calibrate(m, y, prevalence if prevalence is not None else float(y.mean())))
+    return ToxicityModel(learned(texts, y), *_calibrate(m, y, prevalence if prevalence is not None else float(y.mean())))
 
 
 def _weights(texts: list[str], y: np.ndarray, landmarks: int, rounds: int, per_text: int, seed: int) -> np.ndarray:

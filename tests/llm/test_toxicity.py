@@ -1,6 +1,9 @@
 """The classifier against a plain kernel, its operators on odd rows, and the pipeline as a whole."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -127,3 +130,27 @@ def test_pipeline_as_a_whole(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(map(key, got)) == Counter(map(key, want.collect()))
     assert {r.doc_id for r in got} == {r.doc_id for r in kept.collect()} <= left
+
+
+_KEEPS = """
+import random, re
+from kinweave.llm.toxicity import train
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()).group(1)) / 1024
+
+rng = random.Random(2)
+words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+texts = [" ".join(rng.choices(words, k=170) + ["zorgblat"] * (i % 2)) for i in range(1200)]
+train(texts[:20], [i % 2 for i in range(20)])  # tables that stay
+before = held()
+train(texts, [i % 2 for i in range(1200)])
+print(held() - before)
+"""
+
+
+def test_training_gives_its_memory_back():
+    """The driver, which trains, runs the stages after it too."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    kept = subprocess.run([sys.executable, "-c", _KEEPS], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True).stdout
+    assert float(kept) < 25
