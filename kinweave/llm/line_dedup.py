@@ -85,10 +85,10 @@ def shingles(text: str, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return _flat.mix(value), heads
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def _texts(column: pa.Array, limit: int = 1 << 16) -> Iterator[tuple[int, list[str]]]:
     column = column.fill_null("")
     _, offsets = _flat.utf8(column)
-    for i, j in _flat.chunks(offsets, 1 << 16):  # arrays that stay in a core's cache
+    for i, j in _flat.chunks(offsets, limit):  # arrays that stay in a core's cache
         yield i, column.slice(i, j - i).to_pylist()
 
 
@@ -100,6 +100,7 @@ def _key(hi: Column, lo: Column) -> Column:
 
 def _signatures(k: int, bands: int, rows: int):
     names = ["id", "row_hi", "row_lo", "place", "head", "hi", "lo", "size", *_bands(bands)]
+    low, number = np.uint64(_band_bits(bands)), np.arange(bands, dtype=np.uint64)
 
     def batch_of(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
         owner, place, keys, sizes, signature = (np.concatenate(x) for x in zip(*parts))
@@ -124,7 +125,7 @@ def _signatures(k: int, bands: int, rows: int):
                 values, heads = shingles("".join(lines), np.array([len(x) for x in lines]), k)
                 keys = np.frombuffer(b"".join(map(line_key, lines)), np.int64).reshape(-1, 2)
                 sizes = np.diff(np.append(heads, len(values))).astype(np.int32)
-                parts.append((np.array(owner), np.array(place, np.int32), keys, sizes, minhash(values, heads).view(np.int64)))
+                parts.append((np.array(owner), np.array(place, np.int32), keys, sizes, ((minhash(values, heads) & ~low) | number).view(np.int64)))
             if parts:  # chunks are small, batches are not: each costs its columns
                 yield batch_of(batch, parts)
 
@@ -135,19 +136,41 @@ def _bands(bands: int) -> list[str]:
     return [f"band{b}" for b in range(bands)]
 
 
-def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines at the places that are asked for, each with its class."""
-    for batch in batches:
-        asked = batch.column(1)
-        for i, texts in _texts(batch.column(0)):
-            lists = asked.slice(i, len(texts))
-            flat, lines = lists.flatten(), []
-            sizes = np.diff(lists.offsets.to_numpy()).tolist()
-            places = iter(flat.field("place").to_pylist())
-            for text, n in zip(texts, sizes):
-                parts = text.split("\n")
-                lines += [parts[next(places)].strip(_EDGES) for _ in range(n)]
-            yield pa.RecordBatch.from_arrays([flat.field("hi"), flat.field("lo"), flat.field("hot"), pa.array(lines, pa.string())], names=["hi", "lo", "hot", "line"])
+def _band_bits(bands: int) -> int:
+    """The lowest bits of a bucket, which say what band it is of."""
+    return (1 << (bands - 1).bit_length()) - 1
+
+
+def _asked_lines(bands: int):
+    """The lines at the places that are asked for, each with its class, its buckets by
+    band (0: not shared), and once each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(1)
+            for i, texts in _texts(batch.column(0), 1 << 19):
+                lists = asked.slice(i, len(texts))
+                flat, lines = lists.flatten(), []
+                sizes = np.diff(lists.offsets.to_numpy()).tolist()
+                places = iter(flat.field("place").to_pylist())
+                for text, n in zip(texts, sizes):
+                    parts = text.split("\n")
+                    lines += [parts[next(places)].strip(_EDGES) for _ in range(n)]
+                hot = flat.field("hot")
+                entries = hot.flatten()
+                owner = np.repeat(np.arange(len(flat)), np.diff(hot.offsets.to_numpy()))
+                band, who = entries.field("band").to_numpy(), entries.field("who").to_numpy()
+                buckets = np.zeros((len(flat), bands), np.int64)
+                buckets[owner, band] = who
+                once = np.flatnonzero((buckets[owner] == who[:, None]).argmax(axis=1) == band)
+                named = ["who", "blocks", "pivot"]
+                own = pa.StructArray.from_arrays([entries.field(c).take(pa.array(once)) for c in named], names=named)
+                at = np.concatenate([[0], np.cumsum(np.bincount(owner[once], minlength=len(flat)))]).astype(np.int32)
+                ends = np.arange(0, (len(flat) + 1) * bands, bands, dtype=np.int32)
+                columns = [flat.field("hi"), flat.field("lo"), pa.ListArray.from_arrays(pa.array(at), own), pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets.ravel())), pa.array(lines, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "hot", "buckets", "line"])
+
+    return run
 
 
 class _Sets:
@@ -323,8 +346,9 @@ def line_dedup(docs: DataFrame, k: int = 8, threshold: float = 0.8, recall: floa
     named_bands = _bands(bands)
     schema = "id long, row_hi long, row_lo long, place int, head boolean, hi long, lo long, size int, " + ", ".join(f"{b} long" for b in named_bands)
     signed = Written(keyed.select("id", "row", "text").mapInArrow(_flat.trimmed(_signatures(k, bands, rows)), schema), "signatures", plain=True)
-    # one line of each class stands for it: first() takes all its columns from one row
-    told = [F.first(c).alias(c) for c in ("row_hi", "row_lo", "place", "size", *named_bands)]
+    # one line of each class stands for it: first() takes all its columns from one row; the
+    # rest is the same in all rows of a class, and max() keeps one number where first() keeps two
+    told = [*(F.first(c).alias(c) for c in ("row_hi", "row_lo", "place")), *(F.max(c).alias(c) for c in ("size", *named_bands))]
     found = Written(signed.df.groupBy("hi", "lo").agg(F.count("*").alias("copies"), *told), "classes", plain=True)
     places = Written(signed.df.select("id", "row_hi", "row_lo", "place", "hi", "lo"), "lines")
     repeats = Written(signed.df.filter("head").groupBy("row_hi", "row_lo").count().filter("count > 1").select(_key(F.col("row_hi"), F.col("row_lo")).alias("row"), "count"), "repeats")
@@ -335,27 +359,23 @@ def line_dedup(docs: DataFrame, k: int = 8, threshold: float = 0.8, recall: floa
 
     # one exchange and one sort give the sizes of the buckets that classes share; most
     # buckets have one class and go before the other figures are found
-    hashes = F.array(*(F.xxhash64(F.lit(i), F.col(b)) for i, b in enumerate(named_bands)))
     whole = Window.partitionBy("bucket")
-    banded = classes.select(F.explode(hashes).alias("bucket"), "lo", "size").withColumn("n", F.count("*").over(whole)).filter("n > 1")
+    banded = classes.select(F.explode(F.array(*named_bands)).alias("bucket"), "lo", "size").withColumn("n", F.count("*").over(whole)).filter("n > 1")
     sized = banded.select("bucket", "lo", "n", F.sum("size").over(whole).alias("grams"), F.min("lo").over(whole).alias("least"), F.bit_xor(F.xxhash64("lo")).over(whole).alias("who"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     # buckets with the same members, as the bands of two near copies mostly are, count as one
-    members = Written(sized.select("lo", "bucket", F.xxhash64("who", "n", "least").alias("who"), blocks.alias("blocks"), (F.col("least") == F.col("lo")).alias("pivot")), "members")
+    members = Written(sized.select("lo", F.col("bucket").bitwiseAND(_band_bits(bands)).cast("int").alias("band"), F.xxhash64("who", "n", "least").alias("who"), blocks.alias("blocks"), (F.col("least") == F.col("lo")).alias("pivot")), "members")
     release(spark)
 
-    hot = members.df.groupBy("lo").agg(F.collect_list(F.struct("bucket", "who", "blocks", "pivot")).alias("hot"))
-    mine = F.transform(hashes, lambda h: F.try_element_at(F.filter("hot", lambda x: x["bucket"] == h), F.lit(1)).dropFields("bucket"))
-    wanted = classes.join(hot.hint("shuffle_hash"), "lo").select(_key(F.col("row_hi"), F.col("row_lo")).alias("row"), "place", "hi", "lo", mine.alias("hot"))
+    hot = members.df.groupBy("lo").agg(F.collect_list(F.struct("band", "who", "blocks", "pivot")).alias("hot"))
+    wanted = classes.select("row_hi", "row_lo", "place", "hi", "lo").join(hot.hint("shuffle_hash"), "lo").select(_key(F.col("row_hi"), F.col("row_lo")).alias("row"), "place", "hi", "lo", "hot")
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "hi", "lo", "hot")).alias("asked"))
     once = keyed
     if repeated:
         once = keyed.join(repeats.df, "row", "left_anti").select("row", "text").unionByName(keyed.join(repeats.df, "row", "left_semi").select("row", "text").dropDuplicates(["row"]))
-    candidates = Written(once.join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(_flat.trimmed(_asked_lines), "hi long, lo long, hot array<struct<who:long,blocks:int,pivot:boolean>>, line string"), "candidates")
+    candidates = Written(once.join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(_flat.trimmed(_asked_lines(bands)), "hi long, lo long, hot array<struct<who:long,blocks:int,pivot:boolean>>, buckets array<long>, line string"), "candidates")
     release(spark)
-    buckets = F.col("buckets")
-    met = candidates.df.withColumn("buckets", F.transform("hot", lambda x: F.coalesce(x["who"], F.lit(0).cast("long"))))
-    each = met.select("hi", "lo", "line", "buckets", F.explode(F.filter("hot", lambda x, i: x.isNotNull() & (F.array_position(buckets, x["who"]) == i + 1))).alias("x")).select("hi", "lo", "line", "buckets", F.col("x.who").alias("bucket"), "x.blocks", "x.pivot", F.pmod(F.xxhash64("hi", "lo"), F.col("x.blocks")).cast("int").alias("block"))
+    each = candidates.df.select("hi", "lo", "line", "buckets", F.explode("hot").alias("x")).select("hi", "lo", "line", "buckets", F.col("x.who").alias("bucket"), "x.blocks", "x.pivot", F.pmod(F.xxhash64("hi", "lo"), F.col("x.blocks")).cast("int").alias("block"))
     everywhere = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = each.withColumn("p", F.explode(everywhere)).withColumn("q", F.col("p")).withColumn("label", F.lit(None).cast("string"))
     links = Written(_links(first, k, threshold), "links")

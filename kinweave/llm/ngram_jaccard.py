@@ -88,15 +88,16 @@ class MinHash:
         """flat: the values of all sets, each set beginning at its head and not
         empty. One row of band hashes per set."""
         x = (flat >> np.uint64(32)).astype(np.uint32)
-        out, hashed = np.empty((len(heads), self.bands), np.uint64), np.empty_like(x)
-        for b in range(self.bands):
-            h = np.full(len(heads), b * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
-            for r in range(self.rows):
-                k = b * self.rows + r
-                np.multiply(x, self.mul[k], out=hashed)
-                h += np.minimum.reduceat(hashed, heads).astype(np.uint64) * self.coef[r]
-            out[:, b] = _flat.mix(h)
-        return out
+        least, hashed = np.empty((self.bands * self.rows, len(heads)), np.uint32), np.empty_like(x)
+        for k, mul in enumerate(self.mul):
+            np.multiply(x, mul, out=hashed)
+            np.minimum.reduceat(hashed, heads, out=least[k])
+        start = np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        by_band = least.reshape(self.bands, self.rows, len(heads))
+        h = np.repeat(start[:, None], len(heads), axis=1)
+        for r in range(self.rows):  # all bands at a time: sets are few, and each call costs
+            h += by_band[:, r] * self.coef[r]
+        return np.ascontiguousarray(_flat.mix(h).T)
 
 
 def _chunks_of(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, _flat.Words]]:

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -113,3 +114,24 @@ def test_other_versions_are_other_licences(spark):
     rows = [(1, "Licensed under the Apache License, Version 2.0 (the \"License\")"), (2, "Licensed under the Apache License, Version 1.1"), (3, None)]
     got = {r.doc_id: (r.base_labels, r.labels) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("apache", "apache,apache-2.0-notice"), 2: ("apache", "apache"), 3: ("", "")}
+
+
+def test_lines_come_with_their_buckets_by_band():
+    """Lines that are asked for in buckets of bands 2 and 0, of one bucket in bands 1 and 2, and of none."""
+    hot = [[(2, 7, 1, False), (0, 9, 3, True)], [(2, 5, 2, True), (1, 5, 2, True)], []]
+    asked = [[{"place": p, "hi": p, "lo": -p, "hot": [dict(zip(("band", "who", "blocks", "pivot"), x)) for x in own]} for p, own in zip((0, 2, 3), hot)], []]
+    kind = pa.list_(pa.struct({"place": pa.int32(), "hi": pa.int64(), "lo": pa.int64(), "hot": pa.list_(pa.struct({"band": pa.int32(), "who": pa.int64(), "blocks": pa.int32(), "pivot": pa.bool_()}))}))
+    batch = pa.RecordBatch.from_arrays([pa.array([" a\n\nb \nc", "d"]), pa.array(asked, kind)], names=["text", "asked"])
+    for part in (batch, pa.concat_batches([batch, batch]).slice(2, 2)):
+        got = [r for out in line_dedup._asked_lines(3)(iter([part])) for r in out.to_pylist()]
+        assert [(r["hi"], r["lo"], r["line"], r["buckets"]) for r in got] == [(0, 0, "a", [9, 0, 7]), (2, -2, "b", [0, 5, 5]), (3, -3, "c", [0, 0, 0])]
+        assert [[tuple(x.values()) for x in r["hot"]] for r in got] == [[(7, 1, False), (9, 3, True)], [(5, 2, True)], []]
+
+
+def test_buckets_name_their_band():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([bytes(16)], pa.binary()), pa.array(["a line of text\nanother line\na line of text"])], names=["id", "row", "text"])
+    for bands in (1, 2, 11):
+        rows = [r for out in line_dedup._signatures(8, bands, 3)(iter([batch])) for r in out.to_pylist()]
+        bits = line_dedup._band_bits(bands)
+        assert [[r[f"band{b}"] & bits for b in range(bands)] for r in rows] == [list(range(bands))] * 3
+        assert rows[0]["band0"] == rows[2]["band0"] != rows[1]["band0"]
